@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import simhash
+from quantloom.llm import langid, mixing, simhash, substring
 from quantloom.llm.base import prepare, table
 
 
@@ -14,6 +15,27 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    rows = mixing.taken(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_language_id": op9_language_id,
+}
 
 ORACLE_SQL: dict[str, str] = {}
