@@ -26,7 +26,7 @@ SAMPLE_DOCS = 600
 SAMPLE_CHARS = 16_000_000
 #: A text is rejected if its cross-entropy exceeds its language's usual one by this many spreads and this factor.
 REJECT_SPREADS = 8.0
-REJECT_FACTOR = 1.3
+REJECT_FACTOR = 2.0
 UNDETERMINED = "und"
 #: Units (words with what clings to them) whose scores a task keeps; the table is emptied when full.
 KEPT_UNITS = 400_000

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import langid, mixing, simhash, substring
+from quantloom.llm import bpe, langid, mixing, simhash, substring
 from quantloom.llm.base import prepare, table
 
 
@@ -15,6 +16,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return substring.digest(table(spark, sf_dir, "documents"))
@@ -33,9 +44,56 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, source_size * 2 AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM by_source
+), levelled AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER rising, 0)::DOUBLE)
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER rising, 0))::DOUBLE AS level
+  FROM weighed
+  WINDOW rising AS (ORDER BY cap::DOUBLE / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), fixed AS (
+  SELECT level FROM levelled WHERE cap >= weight * level ORDER BY cap::DOUBLE / weight::DOUBLE, source NULLS LAST LIMIT 1
+), goal AS (
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(weight::DOUBLE * (SELECT level FROM fixed), cap::DOUBLE)) AS target FROM levelled
+), rated AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size = 0 THEN 0 ELSE g.target / g.source_size::DOUBLE END AS rate,
+    ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS u
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+"""
+
+_SUBSTRING_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS p, words FROM w WHERE len(words) >= 13
+), windows AS (
+  SELECT doc_id, p, sha256(array_to_string(words[p:p+12], ' ')) AS h FROM starts
+), hits AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM hits
+), marked AS (
+  SELECT doc_id, list(i) AS cut FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, len(w.words) AS n_words, CASE WHEN m.cut IS NULL THEN w.words
+    ELSE list_transform(list_filter(range(1, len(w.words) + 1), lambda i: NOT list_contains(m.cut, i)), lambda i: w.words[i]) END AS k
+  FROM w LEFT JOIN marked m USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, (n_words - len(k))::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": _SUBSTRING_SQL, "op8_source_mixing": _MIX_SQL}
