@@ -6,8 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, langid, mixing, simhash, substring
-from quantloom.llm.base import prepare, table
+from quantloom.llm import bm25, bpe, langid, mixing, shards, simhash, substring, vectors, warc
+from quantloom.llm.base import prepare, shared_dir, table
+
+
+def op1_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, text_sha256 of every document, read back from a store that got them in several arrivals."""
+    return shards.contents(shards.compacted(table(spark, sf_dir, "documents"), shared_dir(spark, "shards")))
+
+
+def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, doc_id, score of the ten best documents of each document whose id is divisible by 50."""
+    return bm25.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from WARC archives."""
+    path = shared_dir(spark, "warc")
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages"), "page_id", "html"), path)
+    return warc.read_pages(spark, path)
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -42,13 +59,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the twenty nearest vectors of each vector whose id is divisible by 20."""
+    return vectors.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op1_tiered_compaction": op1_tiered_compaction,
+    "op2_bm25_top_k": op2_bm25_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
+    "op10_nearest_vectors": op10_nearest_vectors,
 }
 
 _MIX_SQL = """
@@ -96,4 +122,51 @@ WITH w AS (
 SELECT doc_id, n_words::BIGINT AS n_words, (n_words - len(k))::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": _SUBSTRING_SQL, "op8_source_mixing": _MIX_SQL}
+_COMPACTION_SQL = """
+SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+_BM25_SQL = """
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) AS term FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*)::DOUBLE AS tf FROM words GROUP BY ALL
+), len AS (
+  SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id
+), df AS (
+  SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term
+), s AS (
+  SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM len
+), impact AS (
+  SELECT t.doc_id, t.term, ln(1 + (s.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len.dl / s.mean)) AS w
+  FROM tf t JOIN len USING (doc_id) JOIN df USING (term), s
+), scored AS (
+  SELECT q.doc_id AS query_id, i.doc_id, round(sum(q.tf * i.w), 6) AS score
+  FROM tf q JOIN impact i USING (term) WHERE q.doc_id % 50 = 0 AND q.doc_id <> i.doc_id GROUP BY ALL
+)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored
+) WHERE rank <= 10
+"""
+
+_NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_tiered_compaction": _COMPACTION_SQL,
+    "op2_bm25_top_k": _BM25_SQL,
+    "op7_substring_dedup": _SUBSTRING_SQL,
+    "op8_source_mixing": _MIX_SQL,
+    "op10_nearest_vectors": _NEAREST_SQL,
+}

@@ -241,6 +241,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return every.mapInArrow(_cut_batches, "doc_id bigint, key bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated windows' words taken out of the texts; a text that loses none is left as it is.
+
+    All rows and columns stay; a text that loses all its words becomes empty.
+    """
+    found = deduplicated(docs, id_col, text_col).where("n_removed > 0").dropDuplicates(["doc_id", "key"])
+    found = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key"))
+    return docs.join(found, same, "left").withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(*docs.columns)
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``; see deduplicated()."""
     return deduplicated(docs, id_col, text_col).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
