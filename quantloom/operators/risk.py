@@ -136,7 +136,7 @@ def markov(prices: DataFrame, key: str = "symbol", window: int = 20, bull: float
     matrix = transitions(labelled, key, window, s)
     now = labelled.groupBy(key).agg(F.max_by("label", s.order).alias("regime"), F.count("*").alias("n"))
     p = lambda target: F.max(F.when(F.col("target") == target, F.col("probability")))
-    row = matrix.join(now, (matrix[key] == now[key]) & (F.col("origin") == F.col("regime"))).groupBy(now[key]).agg((p(2) - p(0)).alias("signal"))
+    row = matrix.join(now.select(key, "regime"), key).where("origin = regime").groupBy(key).agg((p(2) - p(0)).alias("signal"))
     stay = matrix.groupBy(key).agg(*[F.max(F.when((F.col("origin") == i) & (F.col("target") == i), F.col("probability"))).alias(f"persistence_{n}") for i, n in enumerate(("bear", "sideways", "bull"))])
     out = now.where("n >= 30").join(row, key).join(stationary(matrix, key), key).join(stay, key)
     return out.withColumn("reading", F.when(F.col("signal") > 0.3, "bullish").when(F.col("signal") < -0.3, "bearish").otherwise("neutral"))
