@@ -6,8 +6,8 @@ PERIOD, lies in the difference cover COVER: for any two positions i and j there
 i + d and j + d into the cover, so two equal windows always share an anchor at the same place inside them. Repeated
 anchors are then extended to the windows around them, and these are compared whole by 128-bit hash.
 
-Three passes over the texts and two shuffles of hashes. Hashes travel in blobs: one row for each batch and hash
-bucket, unpacked by NumPy in one task a bucket. An occurrence that its own batch already decides goes to a bucket by
+Three passes over the texts, one shuffle of them and two of hashes. Hashes travel in blobs: one row for each batch and
+hash bucket, unpacked by NumPy in one task a bucket. Anchors need not be exact, so they carry 48 bits of hash. An occurrence that its own batch already decides goes to a bucket by
 document instead of by hash, so a hash sends one document's entries per batch to its bucket, however common it is.
 """
 
@@ -31,28 +31,47 @@ COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 
 _NULL_ID = np.iinfo(np.int64).max
-_ENTRY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("id", "<i8"), ("key", "<i8"), ("at", "<u4"), ("sure", "u1")])
-_FIELDS = ("hi", "lo", "id", "key", "at", "sure")
+_FIELDS = {"hi": np.uint64, "lo": np.uint64, "id": np.int64, "key": np.int64, "at": np.uint32, "sure": np.uint8}
 
 
 def _pack(e: dict[str, np.ndarray], pick: np.ndarray, wide: bool) -> bytes:
-    """Columns one after the other, so that the shuffle's compression finds the runs in them."""
-    return b"".join(e[f][pick].tobytes() for f in _FIELDS if wide or f != "lo")
+    """Entries of one bucket, documents in a table of their own; narrow entries have 48 bits of hash and no id."""
+    key, at, hi = e["key"][pick], e["at"][pick], e["hi"][pick]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, len(key)])
+    parts = [np.array([len(key), len(first)], "<u4"), key[first], count.astype("<u4"), (at & 0xFFFF).astype("<u2"), (at >> 16).astype("<u2"), e["sure"][pick]]
+    parts += [e["id"][pick][first], hi, e["lo"][pick]] if wide else [np.ascontiguousarray(hi.view(np.uint8).reshape(-1, 8)[:, :6])]
+    return b"".join([x.tobytes() for x in parts])
 
 
 def _unpack(blobs: list[bytes], wide: bool) -> dict[str, np.ndarray]:
-    width = _ENTRY.itemsize - (0 if wide else 8)
     parts: dict[str, list[np.ndarray]] = {f: [] for f in _FIELDS}
     for blob in blobs:
-        n, at = len(blob) // width, 0
-        for f in _FIELDS:
-            kind = _ENTRY[f]
-            if f == "lo" and not wide:
-                parts[f].append(np.zeros(n, np.uint64))
-                continue
-            parts[f].append(np.frombuffer(blob, kind, n, at))
-            at += n * kind.itemsize
-    return {f: np.concatenate(x) if x else np.empty(0, _ENTRY[f]) for f, x in parts.items()}
+        at = 8
+        n, docs = np.frombuffer(blob, "<u4", 2).tolist()
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            x = np.frombuffer(blob, kind, count, at)  # noqa: B023
+            at += x.nbytes
+            return x
+
+        key, count = take("<i8", docs), take("<u4", docs)
+        low, high = take("<u2", n), take("<u2", n)
+        parts["at"].append(low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16))
+        parts["sure"].append(take("u1", n))
+        parts["key"].append(np.repeat(key, count))
+        if wide:
+            parts["id"].append(np.repeat(take("<i8", docs), count))
+            parts["hi"].append(take("<u8", n))
+            parts["lo"].append(take("<u8", n))
+        else:
+            hi = np.zeros((n, 8), np.uint8)
+            hi[:, :6] = take("u1", 6 * n).reshape(n, 6)
+            parts["id"].append(parts["key"][-1])
+            parts["hi"].append(hi.view("<u8").ravel())
+            parts["lo"].append(np.zeros(n, np.uint64))
+    return {f: np.concatenate(x) if x else np.empty(0, _FIELDS[f]) for f, x in parts.items()}
 
 
 def _runs(e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,28 +141,21 @@ def _gather(ids: list, keys: list, hashes: list[np.ndarray], lows: list[np.ndarr
     }
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[list, list, pa.Array]:
-    ids = [_NULL_ID if x is None else x for x in batch.column(0).to_pylist()]
-    return ids, batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
-
-
 def _anchor_batches(buckets: int):
     def run(batches):
         for batch in batches:
-            ids, keys, texts = _columns(batch)
-            who, hashes, places = [], [], []
-            for i, text in enumerate(texts):
+            keys, who, hashes, places = batch.column(0).to_pylist(), [], [], []
+            for key, text in zip(keys, batch.column(1).cast(pa.binary()), strict=True):
                 words = _words(text.as_py())
                 if len(words) < WINDOW:
                     continue
-                last = len(words) - ANCHOR + 1
-                at = np.arange(last)
+                at = np.arange(len(words) - ANCHOR + 1)
                 at = at[np.isin(at % PERIOD, COVER)]
                 grams = (b" ".join(words[p : p + ANCHOR]) for p in at.tolist())
                 hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(at)))
                 places.append(at)
-                who.append(i)
-            yield from _emit(_gather([ids[i] for i in who], [keys[i] for i in who], hashes, None, places), buckets, shared=True, wide=False)
+                who.append(key)
+            yield from _emit(_gather(who, who, hashes, None, places), buckets, shared=True, wide=False)
 
     return run
 
@@ -166,17 +178,22 @@ def _answers(shared: bool, wide: bool):
     return run
 
 
-def _places(blobs: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(blobs or []), "<u4")).astype(np.int64)
+def _places(found: list[dict] | None, own: int | None = None) -> np.ndarray:
+    """The places said of this row, or of any row of its key."""
+    blobs = [f["places"] for f in found or [] if own is None or f["id"] == own]
+    return np.unique(np.frombuffer(b"".join(blobs), "<u4")).astype(np.int64)
+
 
+def _own(batch: pa.RecordBatch, id_col: str) -> list[int]:
+    return [_NULL_ID if x is None else x for x in batch.column(id_col).to_pylist()]
 
-def _window_batches(buckets: int):
+
+def _window_batches(buckets: int, id_col: str, text_col: str):
     def run(batches):
         for batch in batches:
-            ids, keys, texts = _columns(batch)
-            found = batch.column(3).to_pylist()
+            keys, ids, found = batch.column(_KEY).to_pylist(), _own(batch, id_col), batch.column(_SAID).to_pylist()
             who, highs, lows, places = [], [], [], []
-            for i, text in enumerate(texts):
+            for i, text in enumerate(batch.column(text_col).cast(pa.binary())):
                 words = _words(text.as_py())
                 at = _places(found[i])
                 starts = np.unique((at[:, None] - np.arange(PERIOD)[None, :]).ravel())
@@ -194,51 +211,61 @@ def _window_batches(buckets: int):
     return run
 
 
-def _cut_batches(batches):
-    for batch in batches:
-        texts, found = batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()
-        total, removed, kept = [], [], []
-        for text, blobs in zip(texts, found, strict=True):
-            words = _words(text.as_py())
-            at = _places(blobs)
-            if len(at):
-                step = np.zeros(len(words) + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, np.minimum(at + WINDOW, len(words)), -1)
-                stay = np.flatnonzero(np.cumsum(step[:-1]) == 0)
-                left = [words[i] for i in stay.tolist()]
-            else:
-                left = words
-            total.append(len(words))
-            removed.append(len(words) - len(left))
-            kept.append(b" ".join(left))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())],
-            ["doc_id", "key", "n_words", "n_removed", "kept_text"],
-        )
+def _left(words: list[bytes], at: np.ndarray) -> list[bytes]:
+    """The words that no window of these starts covers."""
+    if not len(at):
+        return words
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, np.minimum(at + WINDOW, len(words)), -1)
+    return [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_words, n_removed, kept_text) for each row of ``docs``; key is a 64-bit hash of the text.
+_KEY, _SAID = "__key", "__said"
 
-    Ids are of an integer type. A null or empty text has no words. A null id counts as larger than every other id, and
-    rows of equal id, nulls included, never remove words from each other; repeated rows give repeated results. Other
-    columns of ``docs`` are not looked at. An empty table gives an empty result.
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the starts of the windows to remove in _SAID.
+
+    Rows are found again by a hash of id and text; where two rows' hashes are equal, the ids tell whose the starts are.
+    Both passes that need texts again read one shuffle of them.
     """
     prepare(docs.sparkSession)
     buckets = buckets_for(docs, 12 << 20)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    ids = F.coalesce("doc_id", F.lit(int(_NULL_ID)))
+    rows = docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
 
     def asked(entries: DataFrame, shared: bool, wide: bool) -> DataFrame:
         said = entries.groupBy("bucket").applyInArrow(_answers(shared, wide), "id bigint, key bigint, places binary")
-        return said.groupBy("id", "key").agg(F.collect_list("places").alias("places")).withColumnRenamed("key", "k")
+        return said.groupBy("key").agg(F.collect_list(F.struct("id", "places")).alias(_SAID)).withColumnRenamed("key", "__k")
 
-    anchors = asked(rows.mapInArrow(_anchor_batches(buckets), "bucket bigint, blob binary"), True, False)
-    near = rows.join(anchors, (ids == anchors["id"]) & (rows["key"] == anchors["k"])).select("doc_id", "key", "text", "places")
-    windows = asked(near.mapInArrow(_window_batches(buckets), "bucket bigint, blob binary"), False, True)
-    every = rows.join(windows, (ids == windows["id"]) & (rows["key"] == windows["k"]), "left").select("doc_id", "key", "text", "places")
-    return every.mapInArrow(_cut_batches, "doc_id bigint, key bigint, n_words bigint, n_removed bigint, kept_text string")
+    blobs = "bucket bigint, blob binary"
+    anchors = asked(rows.select(_KEY, F.col(text_col)).mapInArrow(_anchor_batches(buckets), blobs), True, False)
+    near = rows.join(anchors, rows[_KEY] == anchors["__k"]).drop("__k")
+    windows = asked(near.mapInArrow(_window_batches(buckets, id_col, text_col), blobs), False, True)
+    return rows.join(windows, rows[_KEY] == windows["__k"], "left").drop("__k")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) for each row of ``docs``.
+
+    Ids are of an integer type. A null or empty text has no words. A null id counts as larger than every other id, and
+    rows of equal id, nulls included, never remove words from each other; repeated rows give repeated results. Other
+    columns of ``docs`` are not looked at. An empty table gives an empty result.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found, total, removed, kept = batch.column(_SAID).to_pylist(), [], [], []
+            for i, (own, text) in enumerate(zip(_own(batch, "doc_id"), batch.column("text").cast(pa.binary()), strict=True)):
+                words = _words(text.as_py())
+                left = _left(words, _places(found[i], own))
+                total.append(len(words))
+                removed.append(len(words) - len(left))
+                kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _judged(rows, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,10 +273,19 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     All rows and columns stay; a text that loses all its words becomes empty.
     """
-    found = deduplicated(docs, id_col, text_col).where("n_removed > 0").dropDuplicates(["doc_id", "key"])
-    found = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key"))
-    return docs.join(found, same, "left").withColumn(text_col, F.coalesce("__kept", F.col(text_col))).select(*docs.columns)
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            found, texts = batch.column(_SAID).to_pylist(), batch.column(text_col).cast(pa.binary()).to_pylist()
+            for i, own in enumerate(_own(batch, id_col)):
+                at = _places(found[i], own)
+                if len(at):
+                    texts[i] = b" ".join(_left(_words(texts[i]), at))
+            columns = [pa.array(texts, pa.binary()).view(pa.string()) if n == text_col else batch.column(n) for n in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return _judged(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
