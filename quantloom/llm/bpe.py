@@ -232,17 +232,22 @@ class Vocabulary:
         self.whole = Kept(lambda t: self.merged(t) == [t], kept)
         self.pair = Kept(lambda p: self.merged(p[0] + p[1]) == [*p], kept)
         self.piece = Kept(lambda p: self._ids(PrefixEncoder(self, p.encode())), kept)
-        self.first = Kept(self._unit, kept // 2)
-        self.after = Kept(lambda u: self._unit(" " + u), kept // 2)
+        self.first = Kept(self._unit, kept // 8)
+        self.after = Kept(lambda u: self._unit(" " + u), kept)
 
-    def _ids(self, encoder: PrefixEncoder) -> list[int]:
-        return [self.ranks[t] for t in encoder.tokens()]
+    def _ids(self, encoder: PrefixEncoder) -> tuple[str, int, bytes]:
+        """(ids as text, each with a space after it, their number, the bytes that they decode to)."""
+        ids = [self.ranks[t] for t in encoder.tokens()]
+        return "".join([f"{i} " for i in ids]), len(ids), self.decode(ids)
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the pieces of these texts that are not kept yet in byte order, so that each one only appends to the
-        prefix that it shares with the one before."""
-        new = {u for t in texts for u in units(t)[1:] if len(u) < LONG}
-        new = {p for u in new if not self.after.has(u) for p in pieces(" " + u) if len(p) <= LONG and not self.piece.has(p)}
+    def learn(self, split: list[list[str]]) -> None:
+        """Encode the pieces of these texts' units that are not kept yet in byte order, so that each one only appends to
+        the prefix that it shares with the one before."""
+        every: set[str] = set()
+        for parts in split:
+            every.update(parts)
+        new = every.difference(self.after, self.after.old)
+        new = {p for u in new if len(u) < LONG for p in pieces(" " + u) if not self.piece.has(p)}
         encoder, before = PrefixEncoder(self), b""
         for p in sorted(x.encode() for x in new):
             n = next((i for i, (x, y) in enumerate(zip(before, p, strict=False)) if x != y), min(len(before), len(p)))
@@ -264,20 +269,23 @@ class Vocabulary:
 
     def _unit(self, unit: str) -> tuple[str, int, bytes]:
         """(ids as text, each with a space after it, their number, their bytes)."""
-        ids = [i for p in pieces(unit) for i in self.piece[p]]
-        return "".join([f"{i} " for i in ids]), len(ids), self.decode(ids)
+        found = pieces(unit)
+        if len(found) == 1:
+            return self.piece[found[0]]
+        found = [self.piece[p] for p in found]
+        return "".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found])
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in pieces(text) for i in self.piece[p]]
+        return [int(i) for p in pieces(text) for i in self.piece[p][0].split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
 
-    def parts(self, text: str | None) -> list[tuple[str, int, bytes]]:
+    def parts(self, text: str | None, split: list[str] | None = None) -> list[tuple[str, int, bytes]]:
         if not text:
             return []
-        parts = units(text)
-        return [self.first[parts[0]], *map(self.after.__getitem__, parts[1:])]
+        first, *rest = split or units(text)
+        return [self.first[first], *map(self.after.__getitem__, rest)]
 
 
 def _local(path: str) -> str:
@@ -289,18 +297,31 @@ def _local(path: str) -> str:
         return SparkFiles.get(path.rsplit("/", 1)[-1])
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, out: list[tuple[str, T.DataType]], make, each) -> DataFrame:
+_TOOLS: dict[tuple, object] = {}
+
+
+def _tool(kind: type, path: str):
+    """This Python worker's counter or vocabulary, which keeps what it has learned from one task to the next."""
+    if (kind, path) not in _TOOLS:
+        _TOOLS[kind, path] = HeapCounter(_local(path)) if kind is HeapCounter else Vocabulary(load_ranks(_local(path)))
+    return _TOOLS[kind, path]
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, out: list[tuple[str, T.DataType]], kind: type, path: str, each) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, t) for n, t in out)])
 
     def run(batches):
-        tool = make()
+        tool = _tool(kind, path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if hasattr(tool, "learn"):
-                tool.learn([t for t in texts if t])
-            found = [each(tool, t) for t in texts]
+                split = [units(t) if t else [] for t in texts]
+                tool.learn(split)
+                found = [each(tool, t, s) for t, s in zip(texts, split, strict=True)]
+            else:
+                found = [each(tool, t) for t in texts]
             columns = zip(*found, strict=True) if found else [[] for _ in out]
             kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
             arrays = [pa.array(list(c), kinds[t.simpleString()]) for c, (_, t) in zip(columns, out, strict=True)]
@@ -320,12 +341,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         n = counter.count(text)
         return len(text.encode()) if text else 0, n, n > limit
 
-    return _run(docs, id_col, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], lambda: HeapCounter(_local(path)), each)
+    return _run(docs, id_col, text_col, [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())], HeapCounter, path, each)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for each row of ``docs``, ids as array<int>; null and empty texts have none."""
-    return _run(docs, id_col, text_col, [("ids", T.ArrayType(T.IntegerType()))], lambda: Vocabulary(load_ranks(_local(path))), lambda v, t: ([int(i) for p in v.parts(t) for i in p[0].split()],))
+    return _run(docs, id_col, text_col, [("ids", T.ArrayType(T.IntegerType()))], Vocabulary, path, lambda v, t, s: ([int(i) for p in v.parts(t, s) for i in p[0].split()],))
 
 
 def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -334,7 +355,7 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
     few = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
 
     def run(batches):
-        v = Vocabulary(load_ranks(_local(path)))
+        v = _tool(Vocabulary, path)
         for batch in batches:
             texts = [None if ids is None else v.decode(ids).decode(errors="replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -349,9 +370,9 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Whole texts, one pass, no shuffle; repeated rows give repeated results.
     """
 
-    def each(v: Vocabulary, text: str | None):
-        found = v.parts(text)
+    def each(v: Vocabulary, text: str | None, split: list[str]):
+        found = v.parts(text, split)
         ids = "".join([p[0] for p in found])[:-1]
         return sum([p[1] for p in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in found])).hexdigest()
 
-    return _run(docs, id_col, text_col, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], lambda: Vocabulary(load_ranks(_local(path))), each)
+    return _run(docs, id_col, text_col, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], Vocabulary, path, each)
