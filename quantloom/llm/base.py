@@ -31,6 +31,22 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+_WORKER: dict[tuple, object] = {}
+
+
+def kept_by_worker(key: tuple, make):
+    """``make()``, kept by this Python worker for its next tasks of the same ``key``; what it kept for another goes."""
+    if key not in _WORKER:
+        forget()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
+def forget() -> None:
+    """Frees what tasks of other operators have left in this Python worker, which Spark uses again."""
+    _WORKER.clear()
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     prepare(spark)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.base import prepare
+from quantloom.llm.base import kept_by_worker, prepare
 
 #: Results that a task keeps; the tables are emptied when full.
 KEPT = 400_000
@@ -297,14 +297,9 @@ def _local(path: str) -> str:
         return SparkFiles.get(path.rsplit("/", 1)[-1])
 
 
-_TOOLS: dict[tuple, object] = {}
-
-
 def _tool(kind: type, path: str):
     """This Python worker's counter or vocabulary, which keeps what it has learned from one task to the next."""
-    if (kind, path) not in _TOOLS:
-        _TOOLS[kind, path] = HeapCounter(_local(path)) if kind is HeapCounter else Vocabulary(load_ranks(_local(path)))
-    return _TOOLS[kind, path]
+    return kept_by_worker((kind, path), lambda: HeapCounter(_local(path)) if kind is HeapCounter else Vocabulary(load_ranks(_local(path))))
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, out: list[tuple[str, T.DataType]], kind: type, path: str, each) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from quantloom.llm.base import prepare
+from quantloom.llm.base import forget, prepare
 
 ORDER = 4
 #: Bounds of the training sample: documents of one language, and characters of all languages together.
@@ -30,6 +30,8 @@ REJECT_FACTOR = 2.0
 UNDETERMINED = "und"
 #: Units (words with what clings to them) whose scores a task keeps; the table is emptied when full.
 KEPT_UNITS = 400_000
+#: Letter runs that are scored at once.
+_RUNS = 10_000
 
 _RUN = re.compile(r"[^\W\d_]+")
 _START, _END = 1, 2
@@ -191,10 +193,10 @@ class Scorer:
                 runs.append(run)
                 who.append(i)
         total, chars = np.zeros((len(units), len(self.model.languages))), np.zeros(len(units), np.int64)
-        for at in range(0, len(runs), 50_000):
-            t, c = self.model.runs(runs[at : at + 50_000])
-            np.add.at(total, who[at : at + 50_000], t)
-            np.add.at(chars, who[at : at + 50_000], c)
+        for at in range(0, len(runs), _RUNS):
+            t, c = self.model.runs(runs[at : at + _RUNS])
+            np.add.at(total, who[at : at + _RUNS], t)
+            np.add.at(chars, who[at : at + _RUNS], c)
         start = len(self.at)
         self.at.update(zip(units, range(start, start + len(units)), strict=True))
         while len(self.chars) < len(self.at):
@@ -293,6 +295,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _judged(batches, model: Model, at: int):
+    forget()
     scorer = Scorer(model)
     for batch in batches:
         found = [scorer.judge(t) for t in batch.column(at).to_pylist()]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.base import prepare, small
+from quantloom.llm.base import forget, prepare, small
 from quantloom.llm.graph import components
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprint_batches(batches):
+    forget()
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.base import buckets_for, prepare
+from quantloom.llm.base import buckets_for, forget, prepare
 
 WINDOW = 13
 PERIOD = 7
@@ -143,6 +143,7 @@ def _gather(ids: list, keys: list, hashes: list[np.ndarray], lows: list[np.ndarr
 
 def _anchor_batches(buckets: int):
     def run(batches):
+        forget()
         for batch in batches:
             keys, who, hashes, places = batch.column(0).to_pylist(), [], [], []
             for key, text in zip(keys, batch.column(1).cast(pa.binary()), strict=True):
