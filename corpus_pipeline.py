@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, langid, mixing, simhash, substring
+from quantloom.llm import bpe, jaccard, langid, mixing, substring
 from quantloom.llm.base import shared_dir, table
 
 
@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of five-word Jaccard similarity 0.8 or more stays, that of the smallest doc_id."""
+    return jaccard.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
