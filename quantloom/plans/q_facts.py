@@ -93,7 +93,7 @@ def _src20(spark, sf_dir):
 def _src21(spark, sf_dir):
     one = P.filings(spark, sf_dir).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("filing_date", "form"))).alias("z"))
     text = one.select("symbol", F.to_json(F.struct(F.col("z.form").alias("form"), F.transform("z.filing_date", lambda d: d.cast("string")).alias("filingDate"), F.transform("z.form", lambda _: F.lit("x")).alias("accessionNumber"))).alias("content"))
-    return files.filings_of(text, 8).drop("accession")
+    return files.filings_of(text).drop("accession")
 
 
 @query("src24_level_inspection", f"WITH {P.WALK_SQL} SELECT symbol, day, round(close, 6) AS close FROM walk WHERE symbol IN ('ASIA', 'EUROPE') AND day BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")

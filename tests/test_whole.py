@@ -1,0 +1,17 @@
+"""What the library's queries once left out: each test fails on the cut that it names."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quantloom.plans import catalog
+from quantloom.plans import panels as P
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_src21_keeps_64_filings(spark):
+    want = P.filings(spark, SF).groupBy("symbol").agg(F.least(F.count("*"), F.lit(64)).alias("n"))
+    got = catalog.queries()["src21_filings_scan"](spark, SF).groupBy("symbol").count()
+    n = {r.symbol: r.n for r in want.collect()}
+    assert max(n.values()) > 8 and {r.symbol: r["count"] for r in got.collect()} == n
