@@ -70,8 +70,65 @@ def rolling_beta(study: DataFrame, window: int = 252) -> DataFrame:
     return last.where((F.col("n") >= window) & (F.col("end_date") == F.col("final"))).select("end_date", "beta", "pearson")
 
 
-def stability(rolling: DataFrame) -> DataFrame:
-    return rolling.agg(F.count("*").alias("n"), F.min("beta").alias("minimum"), F.max("beta").alias("maximum"), F.percentile("beta", F.lit(0.5)).alias("median"), F.max_by("beta", "end_date").alias("latest"), F.stddev_samp("beta").alias("deviation"), (F.count_if(F.col("beta") > 0) / F.count("*")).alias("positive_share"))
+def _month_ends(rows: DataFrame, window: int) -> DataFrame:
+    """The last row of each month that has ``window`` rows up to it (column n)."""
+    last = rows.withColumn("final", F.max("end_date").over(W.Window.partitionBy(F.last_day("end_date"))))
+    return last.where((F.col("n") >= window) & (F.col("end_date") == F.col("final"))).drop("final")
+
+
+def rolling_fit(study: DataFrame, factors: list[str], window: int = 252) -> DataFrame:
+    """(end_date, term, estimate, r2): the whole model refitted on trailing rows at the last row of each month, the
+    intercept included; windows that are rank deficient or have a constant target are skipped."""
+    k = len(factors)
+    w = _order().rowsBetween(1 - window, 0)
+    names = ["1", *[f"x{i}" for i in range(1, k + 1)], "y"]
+    col = lambda n: F.lit(1.0) if n == "1" else F.col(n)
+    sums = [F.sum(col(a) * col(b)).over(w).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    rows = study.select("end_date", F.row_number().over(_order()).alias("n"), *sums)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                m = _matrix(row, k)
+                xx, xy, n = m[:-1, :-1], m[:-1, -1], m[0, 0]
+                scale = np.sqrt(np.diag(xx))
+                syy = m[-1, -1] - m[0, -1] ** 2 / n
+                if (scale <= 1e-14).any() or np.linalg.cond(xx / np.outer(scale, scale)) > 1e14 or math.sqrt(max(0.0, syy) / n) <= 1e-14:
+                    continue
+                beta = np.linalg.solve(xx / np.outer(scale, scale), xy / scale) / scale
+                r2 = 1 - (m[-1, -1] - float(beta @ xy)) / syy
+                out += [(row["end_date"], t, float(b), float(r2)) for t, b in zip(["intercept", *factors], beta, strict=True)]
+            yield pd.DataFrame(out, columns=["end_date", "term", "estimate", "r2"])
+
+    return _month_ends(rows, window).mapInPandas(solve, "end_date date, term string, estimate double, r2 double")
+
+
+def rolling_correlations(study: DataFrame, factors: list[str], window: int = 252) -> DataFrame:
+    """(end_date, factor, pearson, spearman) of y with each factor over trailing rows, at the last row of each month;
+    null if either side is constant."""
+    w = _order().rowsBetween(1 - window, 0)
+    names = ["y", *[f"x{i}" for i in range(1, len(factors) + 1)]]
+    rows = study.select("end_date", F.row_number().over(_order()).alias("n"), *[F.collect_list(c).over(w).alias(c) for c in names])
+
+    def one(a, b):
+        return None if a.std(ddof=0) <= 1e-14 or b.std(ddof=0) <= 1e-14 else float(np.clip(np.corrcoef(a, b)[0, 1], -1, 1))
+
+    def correlate(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                y = pd.Series(row["y"])
+                for i, f in enumerate(factors, 1):
+                    x = pd.Series(row[f"x{i}"])
+                    out.append((row["end_date"], f, one(y, x), one(y.rank(), x.rank())))
+            yield pd.DataFrame(out, columns=["end_date", "factor", "pearson", "spearman"])
+
+    return _month_ends(rows, window).mapInPandas(correlate, "end_date date, factor string, pearson double, spearman double")
+
+
+def stability(rolling: DataFrame, *by: str) -> DataFrame:
+    return rolling.groupBy(*by).agg(F.count("*").alias("n"), F.min("beta").alias("minimum"), F.max("beta").alias("maximum"), F.percentile("beta", F.lit(0.5)).alias("median"), F.max_by("beta", "end_date").alias("latest"), F.stddev_samp("beta").alias("deviation"), (F.count_if(F.col("beta") > 0) / F.count("*")).alias("positive_share"))
 
 
 def gram(study: DataFrame, k: int) -> DataFrame:
@@ -215,6 +272,18 @@ def monitor(study: DataFrame) -> DataFrame:
     return now.join(F.broadcast(fit)).select("end_date", F.col("y").alias("move"), (F.col("beta") * F.col("x1")).alias("explained"), (F.col("y") - F.col("beta") * F.col("x1")).alias("unexplained"))  # one-row side
 
 
+def monitor_fit(study: DataFrame, factors: list[str]) -> DataFrame:
+    """(end_date, move, term, beta, contribution, explained, unexplained) of the last interval: the whole model fitted
+    on all intervals before it, explained by the intercept and every factor's move."""
+    final = study.agg(F.max("end_date")).first()[0]
+    beta, _, _ = coefficients(study.where(F.col("end_date") < final), len(factors))
+    now = study.where(F.col("end_date") == final)
+    terms = [F.struct(F.lit(t).alias("term"), F.lit(float(b)).alias("beta"), (F.lit(float(b)) * (F.lit(1.0) if i == 0 else F.col(f"x{i}"))).alias("contribution")) for i, (t, b) in enumerate(zip(["intercept", *factors], beta, strict=True))]
+    explained = sum((t["contribution"] for t in terms), F.lit(0.0))
+    rows = now.select("end_date", F.col("y").alias("move"), F.explode(F.array(*terms)).alias("t"), explained.alias("explained"))
+    return rows.select("end_date", "move", "t.term", "t.beta", "t.contribution", "explained", (F.col("move") - F.col("explained")).alias("unexplained"))
+
+
 def level_pack(levels: DataFrame, legs: dict[str, tuple[float, float]], transform: str, key: str = "symbol", day: str = "day", value: str = "close") -> DataFrame:
     """(start_date, end_date, value): the weighted sum of scaled legs on their common dates, then its difference, simple
     or log return between adjacent common dates; a level of 0 or less has no return."""

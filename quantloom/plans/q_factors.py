@@ -120,6 +120,28 @@ def _agg25(spark, sf_dir):
     return rounded(fa.stability(fa.rolling_beta(_study(spark, sf_dir))))
 
 
+@query("fac10_rolling_fit")
+def _fac10b(spark, sf_dir):
+    return rounded(fa.rolling_fit(_study(spark, sf_dir), _FACTORS))
+
+
+@query("win34_factor_correlations")
+def _win34(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return rounded(fa.rolling_correlations(s.select("end_date", *[F.round(c, 8).alias(c) for c in ("y", "x1", "x2")]), _FACTORS))
+
+
+@query("agg25_factor_stability")
+def _agg25b(spark, sf_dir):
+    fits = fa.rolling_fit(_study(spark, sf_dir), _FACTORS).where("term <> 'intercept'")
+    return rounded(fa.stability(fits.groupBy("term", "end_date").agg(F.max("estimate").alias("beta")), "term"))
+
+
+@query("fac13_attribution")
+def _fac13b(spark, sf_dir):
+    return rounded(fa.monitor_fit(_study(spark, sf_dir), _FACTORS))
+
+
 @query("fac11_level_pack", f"WITH {P.WALK_SQL}, lv AS (SELECT day, sum(CASE symbol WHEN 'ASIA' THEN close * 0.5 WHEN 'EUROPE' THEN -close * 0.1 END) AS v FROM walk WHERE symbol IN ('ASIA', 'EUROPE') GROUP BY day HAVING count(*) = 2) SELECT * FROM (SELECT lag(day) OVER (ORDER BY day) AS start_date, day AS end_date, round(v - lag(v) OVER (ORDER BY day), 6) AS value FROM lv) WHERE start_date IS NOT NULL")
 def _fac11(spark, sf_dir):
     return rounded(fa.level_pack(P.walk(spark, sf_dir), {"ASIA": (0.5, 1.0), "EUROPE": (0.1, -1.0)}, "difference"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quantloom.operators import factors as fa
 from quantloom.plans import catalog
 from quantloom.plans import panels as P
 
@@ -15,3 +18,35 @@ def test_src21_keeps_64_filings(spark):
     got = catalog.queries()["src21_filings_scan"](spark, SF).groupBy("symbol").count()
     n = {r.symbol: r.n for r in want.collect()}
     assert max(n.values()) > 8 and {r.symbol: r["count"] for r in got.collect()} == n
+
+
+def study():
+    r = np.random.default_rng(3)
+    days = pd.bdate_range("2020-01-01", periods=400)
+    x = r.normal(size=(400, 2))
+    y = 0.3 + x @ [0.5, -2.0] + 0.1 * r.normal(size=400)
+    return pd.DataFrame({"end_date": days.date, "start_date": days.date, "y": y, "x1": x[:, 0], "x2": x[:, 1]})
+
+
+def test_fac10_fits_all_factors(spark):
+    pdf = study()
+    s = spark.createDataFrame(pdf)
+    ends = [i for i in range(251, 400) if i == 399 or pdf.end_date[i].month != pdf.end_date[i + 1].month]
+    fits = {(r.end_date, r.term): r for r in fa.rolling_fit(s, ["A", "B"]).collect()}
+    corr = {(r.end_date, r.factor): r for r in fa.rolling_correlations(s, ["A", "B"]).collect()}
+    assert len(fits) == 3 * len(ends) and len(corr) == 2 * len(ends)
+    for i in ends:
+        part, day = pdf.iloc[i - 251 : i + 1], pdf.end_date[i]
+        want, sse, *_ = np.linalg.lstsq(np.c_[np.ones(252), part[["x1", "x2"]]], part.y, rcond=None)
+        assert np.allclose([fits[day, t].estimate for t in ("intercept", "A", "B")], want)
+        assert np.isclose(fits[day, "A"].r2, 1 - sse[0] / (part.y.var(ddof=0) * 252))
+        for f, c in (("A", "x1"), ("B", "x2")):
+            assert np.isclose(corr[day, f].pearson, part.y.corr(part[c]))
+            assert np.isclose(corr[day, f].spearman, part.y.rank().corr(part[c].rank()))
+    got = {r.term: r for r in fa.monitor_fit(s, ["A", "B"]).collect()}
+    want = np.linalg.lstsq(np.c_[np.ones(399), pdf[["x1", "x2"]][:-1]], pdf.y[:-1], rcond=None)[0]
+    assert np.allclose([got[t].beta for t in ("intercept", "A", "B")], want)
+    assert np.isclose(got["A"].explained, want @ [1, pdf.x1[399], pdf.x2[399]])
+    assert {"fac10_rolling_fit", "win34_factor_correlations", "agg25_factor_stability", "fac13_attribution"} <= set(catalog.queries())
+    fitted = fa.rolling_fit(s, ["A", "B"]).where("term <> 'intercept'").withColumnRenamed("estimate", "beta")
+    assert {r.term: r.n for r in fa.stability(fitted, "term").collect()} == {"A": len(ends), "B": len(ends)}
