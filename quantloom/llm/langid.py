@@ -254,8 +254,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A calibrated model from a bounded sample of the labelled documents that are not held out.
 
     The sample has, for each language, the documents with the smallest hash of their id: at most SAMPLE_DOCS, and in
-    all at most SAMPLE_CHARS characters shared equally by the languages. Whole texts only; one that would exceed the
-    rest of its language's share is left out. Three quarters fit the model and one quarter calibrates the rejection.
+    all at most SAMPLE_CHARS characters shared equally by the languages. A text gives its start, up to a quarter of its
+    language's share and to what is left of it. Three quarters fit the model and one quarter calibrates the rejection;
+    of two or three texts the last calibrates, and a single text fits, so that its language rejects nothing.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -264,10 +265,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     by = W.Window.partitionBy("lang").orderBy("h", "n", "id")
     first = may.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_DOCS).checkpoint()
     share = SAMPLE_CHARS // max(1, first.select("lang").distinct().count())
-    running = first.withColumn("so_far", F.sum("n").over(by.rowsBetween(W.Window.unboundedPreceding, 0)))
-    picked = running.where((F.col("so_far") <= share) | ((F.col("r") == 1) & (F.col("n") <= share))).select(F.col("id").alias("pid"), "lang", (F.col("r") % 4 == 0).alias("calibrates"), "n").distinct()
-    texts = docs.join(F.broadcast(picked.select("pid", "calibrates").distinct()), F.col(id_col) == F.col("pid"))  # at most SAMPLE_DOCS a language
-    texts = texts.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), "calibrates").where("text is not null").checkpoint()
+    taken = first.withColumn("take", F.least(F.col("n"), F.lit(max(1, share // 4)))).withColumn("most", F.max("r").over(W.Window.partitionBy("lang")))
+    before = F.coalesce(F.sum("take").over(by.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    used = taken.withColumn("take", F.least(F.col("take"), F.lit(max(4, share)) - before)).where("take > 0")
+    calibrates = (F.col("r") % 4 == 0) | (F.col("most").between(2, 3) & (F.col("r") == F.col("most")))
+    picked = used.select(F.col("id").alias("pid"), F.col("lang").alias("plang"), "take", calibrates.alias("calibrates")).groupBy("pid", "plang", "calibrates").agg(F.max("take").cast("int").alias("take"))
+    texts = docs.join(F.broadcast(picked), (F.col(id_col) == F.col("pid")) & (F.col(lang_col).cast("string") == F.col("plang")))  # at most SAMPLE_DOCS a language
+    texts = texts.select(F.col("plang").alias("lang"), F.substring(F.col(text_col), F.lit(1), F.col("take")).alias("text"), "calibrates").where("text is not null").checkpoint()
     counted = texts.where(~F.col("calibrates")).select("lang", "text").mapInArrow(_count_batches, "lang string, run string, n bigint")
     counts: dict[str, dict[str, int]] = {}
     for lang, run, n in counted.groupBy("lang", "run").agg(F.sum("n")).toLocalIterator():  # at most SAMPLE_CHARS rows

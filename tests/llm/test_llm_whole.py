@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from quantloom.llm import base
+from quantloom.llm import base, langid
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -50,3 +50,13 @@ def test_pipeline_near_dedup_reaches_0_8(spark):
     real = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, SF).collect()} == brute_first(real)
     assert corpus_pipeline.near_dedup(spark, table.where(F.lit(False)), SF).count() == 0
+
+
+def test_langid_learns_every_label(spark, monkeypatch):
+    """A long text, first in hash order or not, takes no other text of its label from the sample."""
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 8000)
+    rows = [(i, f"{'la le li lo ' * 30}", "aa") for i in range(40)] + [(i, "zu zo zi za " * 30, "bb") for i in range(101, 104)]
+    rows += [(i, "ky ke ko ka " * 5000, "cc") for i in range(200, 204)] + [(300, "mum mim " * 9000, "dd")]
+    model = langid.train(spark.createDataFrame(rows + [(i, "la le li lo " * 5000, "aa") for i in range(40, 60)], "doc_id bigint, text string, lang string"))
+    assert list(model.languages) == ["aa", "bb", "cc", "dd"]
+    assert all(e < float("inf") for e in list(model.usual)[:3])
