@@ -140,13 +140,21 @@ def headline(curve: DataFrame, done: DataFrame) -> DataFrame:
     return one.join(own, "symbol", "left")
 
 
-def sampled(curve: DataFrame, most: int = 520) -> DataFrame:
-    """At most ``most`` evenly spread bars of each instrument, ends included, places rounded half to even."""
-    n = F.max("bar").over(W.Window.partitionBy("symbol")) + 1
-    rows = curve.withColumn("n", n)
-    k = F.least(F.col("n"), F.lit(most))
-    places = rows.select("symbol", "n").distinct().select("symbol", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.bround(i * (F.col("n") - 1) / F.greatest(k - 1, F.lit(1)), 0).cast("bigint"))).alias("bar")).distinct()
-    return curve.join(places, ["symbol", "bar"], "left_semi")
+def sampled(curve: DataFrame, done: DataFrame | None = None, most: int = 520) -> DataFrame:
+    """At most ``most`` bars of each instrument: the ends, the entry and exit bars of the trades ``done``, and evenly
+    spread others, places rounded half to even. If these alone are more, evenly spread ones of them."""
+    by = W.Window.partitionBy("symbol")
+    rows = curve.withColumns({"__must": (F.col("bar") == F.min("bar").over(by)) | (F.col("bar") == F.max("bar").over(by))})
+    if done is not None:
+        stamps = done.select("symbol", F.explode(F.array("entry_bar", "exit_bar")).alias("bar")).where("bar is not null").distinct()
+        rows = rows.join(stamps.withColumn("__at", F.lit(True)), ["symbol", "bar"], "left").withColumn("__must", F.col("__must") | F.col("__at").isNotNull()).drop("__at")
+    rows = rows.withColumn("__pos", F.row_number().over(W.Window.partitionBy("symbol", "__must").orderBy("bar")) - 1)
+    count = rows.groupBy("symbol").agg(F.count_if("__must").alias("m"), F.count("*").alias("n"))
+    sides = count.select("symbol", F.explode(F.array(*[F.struct(F.lit(must).alias("__must"), n.alias("n"), k.alias("k")) for must, n, k in (
+        (True, F.col("m"), F.least("m", F.lit(most))), (False, F.col("n") - F.col("m"), F.least(F.col("n") - F.col("m"), F.greatest(most - F.col("m"), F.lit(0)))))])).alias("z")).select("symbol", "z.*").where("k > 0")
+    even = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1), lambda i: F.when(F.col("k") == 1, F.floor(F.col("n") / 2)).otherwise(F.bround(i * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1)), 0)).cast("bigint"))
+    places = sides.select("symbol", "__must", F.explode(even).alias("__pos")).distinct()
+    return rows.join(places, ["symbol", "__must", "__pos"], "left_semi").select(*curve.columns)
 
 
 def endpoints(df: DataFrame, order: str, head: int = 100, tail: int = 100, key: str = "symbol") -> DataFrame:

@@ -185,7 +185,7 @@ QUERIES["bt04_07_metrics"] = QUERIES["skl12_backtesting"]
 
 @query("srt05_even_sampling")
 def _srt05(spark, sf_dir):
-    return rounded(backtest.sampled(backtest.equity(*_bt(spark, sf_dir))))
+    return rounded(backtest.sampled(backtest.equity(*_bt(spark, sf_dir)), backtest.trades(*_bt(spark, sf_dir))))
 
 
 @query("srt04_endpoints", f"WITH {P.WALK_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS u, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS d FROM walk) SELECT symbol, day, round(close, 6) AS close FROM r WHERE u <= 100 OR d <= 100")
