@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
+#: Bytes of an Arrow batch that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """A checkpoint folder where the cluster names none (tests), and Arrow batches that hold long texts."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """The checkpoint folder that the session names; in local mode, where one process does all, else a temporary one. Also
+    bounds the session's Arrow batches to BATCH_BYTES, because 10,000 whole texts may be much more."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantloom-"))
 
 
 _WORKER: dict[tuple, object] = {}
@@ -48,10 +58,37 @@ def forget() -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
+    """A new path in the folder that the driver and all executors share, with its file system's name."""
     prepare(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, root).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as the cluster's default file system has it, so that executors don't take it for their own disks'."""
+    system, at = _hadoop(spark, path)
+    return str(system.makeQualified(at))
+
+
+def list_files(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """Files of a folder in order, with their file system's name."""
+    system, at = _hadoop(spark, folder)
+    names = [str(s.getPath()) for s in system.listStatus(at)] if system.exists(at) else []
+    return sorted(n for n in names if n.endswith(ending))
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """What opens a path that names its file system."""
+    if re.match(r"file:/+", uri):
+        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
+    if "://" not in uri:
+        raise ValueError(f"a path without its file system: {uri}")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def checked(df: DataFrame, row_bytes: int = 64) -> tuple[DataFrame, int, bool]:
