@@ -35,24 +35,27 @@ _EVEN = np.uint64(0x5555555555555555)
 _HALF = np.uint64(0xFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one UTF-8 text as an unsigned integer; of no words, 0."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included; a text of fewer words is one shingle, of none none."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
-    if len(words) < shingle:
-        grams = iter([b" ".join(words)])
-        n = 1
-    else:
-        n = len(words) - shingle + 1
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes; 0 for none."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, _CHUNK):
+    for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one UTF-8 text as an unsigned integer; of no words, 0."""
+    return bits_of(shingle_hashes(text, shingle))
 
 
 def _fingerprint_batches(batches):
@@ -84,7 +87,7 @@ def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index = np.arange(len(fps))
     for half in (0, 1):
         c = (code >> np.uint64(32 * half)) & _HALF
-        tag = np.uint64(half << 33)
+        tag = np.uint64(half << 32)
         keys.append(c | tag)
         kinds.append(np.zeros(len(fps), np.int8))
         who.append(index)
@@ -111,37 +114,43 @@ def _close(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return bound & (np.bitwise_count(a ^ b) <= most)
 
 
-def _search(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span each component of one long run: at most one for each fingerprint, found breadth first."""
-    fps = np.unique(fps)
+def _search(own: np.ndarray, other: np.ndarray, most: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what pairs of one run connect that have an own entry: breadth first, at most one link for each
+    fingerprint reached. Own entries are compared with all that is left, others with the own ones that are left.
+    ``seen`` counts comparisons."""
+    own = np.unique(own)
+    fps = np.r_[own, np.setdiff1d(other, own)]
     left = np.ones(len(fps), bool)
     a, b = [], []
-    for start in range(len(fps)):
+    for start in range(len(own)):
         if not left[start]:
             continue
         left[start] = False
         front = np.array([start])
         while len(front):
             found = []
-            for at in range(0, len(front), 64):
-                rest = np.flatnonzero(left)
-                if not len(rest):
-                    break
-                part = front[at : at + 64]
-                near = _close(fps[part][:, None], fps[rest][None, :], most)
-                hit = near.any(axis=0)
-                new = rest[hit]
-                a.append(fps[part[near[:, hit].argmax(axis=0)]])
-                b.append(fps[new])
-                left[new] = False
-                found.append(new)
+            for part, rest in ((front[front < len(own)], len(fps)), (front[front >= len(own)], len(own))):
+                for at in range(0, len(part), 64):
+                    open_ = np.flatnonzero(left[:rest])
+                    if not len(open_):
+                        break
+                    now = part[at : at + 64]
+                    near = _close(fps[now][:, None], fps[open_][None, :], most)
+                    if seen is not None:
+                        seen.append(near.size)
+                    hit = near.any(axis=0)
+                    new = open_[hit]
+                    a.append(fps[now[near[:, hit].argmax(axis=0)]])
+                    b.append(fps[new])
+                    left[new] = False
+                    found.append(new)
             front = np.concatenate(found) if found else np.empty(0, int)
     none = np.empty(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
 def _links_of(key: np.ndarray, kind: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole runs of equal keys; two entries of kind 1 are never compared in short runs."""
+    """Links among whole runs of equal keys; two entries of kind 1 are never compared."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
     length = np.diff(np.r_[start, len(key)])
     size = np.repeat(length, length)
@@ -152,7 +161,8 @@ def _links_of(key: np.ndarray, kind: np.ndarray, fp: np.ndarray, most: int) -> t
         a.append(fp[i])
         b.append(fp[i + k])
     for s, n in zip(start[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
-        x, y = _search(fp[s : s + n], most)
+        own = kind[s : s + n] == 0
+        x, y = _search(fp[s : s + n][own], fp[s : s + n][~own], most)
         a.append(x)
         b.append(y)
     none = np.empty(0, np.uint64)
@@ -182,26 +192,43 @@ def _link_batches(most: int):
     return run
 
 
+def _up_batches(batches):
+    """(cell, rows) of the cells one step up from each cell, which get all of its rows."""
+    for batch in batches:
+        cell, rows = (batch.column(i).to_numpy() for i in (0, 1))
+        c, half = cell.astype(np.uint64) & _HALF, cell.astype(np.uint64) >> np.uint64(32)
+        out, n = [], []
+        for i in range(16):
+            first, second = np.uint64(1 << (2 * i)), np.uint64(2 << (2 * i))
+            can = (c & second) == 0
+            out.append((np.where((c & first) == 0, c | first, c | second) | half << np.uint64(32))[can])
+            n.append(rows[can])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), pa.array(np.concatenate(n))], ["cell", "rows"])
+
+
 def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that differ in 1 to ``max_distance`` (at most 3) bits.
 
-    Every two fingerprints within the distance are linked directly or through others of their cell. A cell of more
-    than ``cell_rows`` fingerprints is split: each part is compared with the whole cell, in a task of its own.
+    Every two fingerprints within the distance are linked directly or through others of their cell. A cell that gets
+    more than about ``cell_rows`` is dealt to a square of tasks by a hash of the fingerprint: task (i, j) compares the
+    own entries of part i with all entries of part j, so no task holds the cell and each pair is compared in two at most.
     """
     if max_distance > 3:
         raise ValueError("the two halves of the grid only cover distances up to 3")
-    distinct = fps.select("fp").distinct()
+    prepare(fps.sparkSession)
+    # an explicit number of partitions: the few bytes here become 26 times as many
+    distinct = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     grid = distinct.mapInArrow(_cell_batches, "cell bigint, kind tinyint, fp bigint")
-    size = grid.where("kind = 0").groupBy("cell").count().where(F.col("count") > cell_rows)
-    hot = size.select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
+    full = grid.where("kind = 0").groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).checkpoint()
+    hot = full.union(full.mapInArrow(_up_batches, "cell bigint, rows bigint")).groupBy("cell").agg(F.ceil(F.sum("rows") / cell_rows).cast("int").alias("parts"))
     hot = small(hot)
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    split = (
-        grid.join(hot, "cell", "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
-        .withColumn("kind", F.when((F.col("kind") == 0) & F.coalesce(own == F.col("part"), F.lit(True)), 0).otherwise(1).cast("tinyint"))
-        .select(F.xxhash64("cell", "part").alias("key"), "kind", "fp")
-    )
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    place = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).cast("tinyint").alias("kind"))
+    as_own = F.when(F.col("kind") == 0, F.transform(every, lambda j: place(part, j, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,kind:tinyint>>"))
+    as_other = F.transform(F.filter(every, lambda i: (F.col("kind") == 1) | (i != part)), lambda i: place(i, part, 1))
+    places = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("kind")))).otherwise(F.concat(as_own, as_other))
+    split = grid.join(hot, "cell", "left").select("cell", "fp", F.explode(places).alias("p")).select(F.xxhash64("cell", "p.i", "p.j").alias("key"), "p.kind", "fp")
     return split.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_link_batches(max_distance), "a bigint, b bigint")
 
 
