@@ -25,9 +25,9 @@ def last_values(rows: DataFrame, columns: list[str], key: str = "symbol", day: s
 
 
 def _joined(bars: DataFrame) -> DataFrame:
-    """Window and recurrent indicators side by side; both are partitioned by instrument."""
-    recurrent = indicators.recurrences(bars).select("symbol", "day", *indicators.RECURRENT)
-    return indicators.trailing(bars).join(recurrent, ["symbol", "day"])
+    """Window and recurrent indicators side by side: one exchange and sort by instrument serves both."""
+    rows = indicators.trailing(bars)
+    return indicators.recurrences(rows, keep=tuple(c for c in rows.columns if c not in ("symbol", "day", "open", "high", "low", "close", "volume")))
 
 
 def technical(bars: DataFrame, s: fr.Series = DAILY) -> DataFrame:
@@ -42,11 +42,7 @@ def technical(bars: DataFrame, s: fr.Series = DAILY) -> DataFrame:
 def technical_basic(bars: DataFrame) -> DataFrame:
     """Four sub-scores of trend, momentum, band and volume, their mean, and its reading; from 50 complete bars."""
     rows = _joined(validation.validated(bars).where(validation.complete_bar()))
-    rows = rows.withColumns({"ema12": F.col("macd") + F.lit(0.0)})
-    one = last_values(rows, ["n", "close", "rsi14", "adx", "plus_di", "minus_di", "obv_trend", "volume_ratio", "boll_lower_s", "boll_middle", "boll_upper_s", "macd"]).where("n >= 50")
-    slow = indicators.recurrences(bars).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "close"))).alias("b"))
-    slow = slow.select("symbol", indicators.fold_average(F.col("b.close"), 26, 2 / 27).alias("ema26"))
-    one = one.join(slow, "symbol").withColumn("ema12", F.col("macd") + F.col("ema26"))
+    one = last_values(rows, ["n", "close", "ema12", "ema26", "rsi14", "adx", "plus_di", "minus_di", "obv_trend", "volume_ratio", "boll_lower_s", "boll_middle", "boll_upper_s", "macd"]).where("n >= 50")
     c = F.col
     trend = ladder(((c("close") > c("ema12")) & (c("macd") > 0) & (F.coalesce("plus_di", F.lit(0.0)) > F.coalesce("minus_di", F.lit(0.0))), 100.0), (c("close") > c("ema26"), 60.0), otherwise=20.0)
     momentum = ladder((c("rsi14").between(50, 70), 100.0), (c("rsi14").between(40, 80), 60.0), otherwise=20.0)
@@ -153,7 +149,8 @@ def worth_buy(bars: DataFrame, benchmark: DataFrame | None = None, s: fr.Series
     """Composite score, risk score, blocks, levels, entry class, reversal count and verdict of each instrument.
 
     Without a benchmark the efficiency part takes 0.10 / 0.65 while the momentum part keeps 0.55. ``benchmark`` is
-    (symbol, relative_strength) with the mean score against the benchmarks; instruments it lacks have none.
+    (symbol, relative_strength) with the mean score against the benchmarks; instruments it lacks have none. An
+    instrument with fewer than 30 complete bars has the verdict cannot_score, no scores and no levels.
     """
     rows = _joined(validation.validated(bars).where(validation.complete_bar()))
     rows = rows.withColumns({
@@ -165,7 +162,7 @@ def worth_buy(bars: DataFrame, benchmark: DataFrame | None = None, s: fr.Series
     rows = rows.withColumns({"ma10_prev": s.lag("ma10"), "ma20_prev": s.lag("sma20")})
     day_dd = validation.tail(bars.where(validation.complete_bar()), 252).withColumn("dd", fr.drawdown(s)).groupBy("symbol").agg(F.when(F.count("*") >= 2, F.min("dd")).alias("dd252"))
     keep = ["n", "close", "prev", "high", "low", "volume", "ma10", "ma10_prev", "sma20", "ma20_prev", "ma60", "ma200", "rsi6", "rsi14", "macd", "macd_signal", "macd_hist", "hist3", "k", "d", "j", "adx", "plus_di", "minus_di", "up_down", "obv", "obv30", "efficiency", "momentum_12_1", "vol_log_63", "atr14", "low20", "low10", "high30", "high252", "vol_before"]
-    one = last_values(rows, keep).where("n >= 30").join(day_dd, "symbol")
+    one = last_values(rows, keep).where("n >= 30").join(day_dd, "symbol", "left")
     one = one.join(indicators.weekly_alignment(indicators.weekly(bars.where(validation.complete_bar()))).select("symbol", "bearish"), "symbol", "left")
     one = one.join(benchmark, "symbol", "left") if benchmark is not None else one.withColumn("relative_strength", F.lit(None).cast("double"))
     c, yes = F.col, lambda x: F.coalesce(x, F.lit(False))
@@ -198,7 +195,8 @@ def worth_buy(bars: DataFrame, benchmark: DataFrame | None = None, s: fr.Series
         .when((c("composite") >= 40) & (c("risk") < 40), "watch").when(c("risk") >= 40, "reduce_risk").otherwise("no")
     )
     stop = F.least(F.coalesce("ma60", "low20"), c("low20")) - F.coalesce("atr14", F.lit(0.0))
-    return out.select("symbol", "composite", "risk", F.concat_ws(",", "blocks").alias("blocks"), "reversal_signals", "entry_class", c("close").alias("entry_price"), F.bround(stop, 2).alias("stop_price"), c("high252").alias("target_price"), verdict.alias("verdict"))
+    scored = out.select("symbol", "composite", "risk", F.concat_ws(",", "blocks").alias("blocks"), "reversal_signals", "entry_class", c("close").alias("entry_price"), F.bround(stop, 2).alias("stop_price"), c("high252").alias("target_price"), verdict.alias("verdict"))
+    return bars.select("symbol").distinct().join(scored, "symbol", "left").withColumn("verdict", F.coalesce("verdict", F.lit("cannot_score")))
 
 
 def relative_strength(prices: DataFrame, benchmark: DataFrame, s: fr.Series = DAILY) -> DataFrame:

@@ -299,7 +299,41 @@ def level_pack(levels: DataFrame, legs: dict[str, tuple[float, float]], transfor
 
 
 #: Factor presets: name, asset or pair of assets whose difference is the factor.
-PRESETS = {"us_etf": (("market", "SPY"), ("size", "IWM-SPY"), ("value", "IWD-IWF"), ("momentum", "MTUM-SPY"), ("quality", "QUAL-SPY"))}
+# The presets' factors as (factor, kind, long leg, short leg).
+PRESETS = {
+    "us_etf": (
+        ("market", "asset_return", "IWB", None),
+        ("growth_minus_value", "spread", "IWF", "IWD"),
+        ("momentum_minus_market", "spread", "MTUM", "IWB"),
+    ),
+    "msci_europe": (
+        ("market", "asset_return", "MSCI-EU-GTR-EUR", None),
+        ("growth_minus_value", "spread", "MSCI-EU-GRW-GTR", "MSCI-EU-VAL-GTR"),
+        ("momentum_minus_market", "spread", "MSCI-EU-MOM-GTR", "MSCI-EU-GTR-EUR"),
+    ),
+    "french": (
+        ("market_excess", "research", None, None),
+        ("smb", "research", None, None),
+        ("hml", "research", None, None),
+        ("rmw", "research", None, None),
+        ("cma", "research", None, None),
+        ("momentum", "research", None, None),
+    ),
+}
+
+
+def preset(prices: DataFrame, name: str, key: str = "symbol", day: str = "day") -> DataFrame:
+    """Long (start_date, end_date, factor, value) of a preset: the legs' returns between their common days, a spread being
+    the long leg's less the short one's. An unknown name is an error; a factor without its legs gives no rows."""
+    legs = [(f, leg, 1.0 if i == 0 else -1.0, 2 if short else 1) for f, _, long, short in PRESETS[name] for i, leg in enumerate((long, short)) if leg]
+    asked = prices.sparkSession.createDataFrame(legs, "factor string, leg string, sign double, legs int")
+    rows = prices.join(F.broadcast(asked), F.col(key) == F.col("leg"))  # a preset has at most a few legs
+    both = rows.groupBy("factor", day).agg(F.count("*").alias("n"), F.max("legs").alias("legs"), F.sort_array(F.collect_list(F.struct("sign", "close"))).alias("z"))
+    both = both.where("n = legs").select("factor", day, F.element_at("z", -1)["close"].alias("long"), F.when(F.col("legs") == 2, F.element_at("z", 1)["close"]).alias("short"))
+    w = W.Window.partitionBy("factor").orderBy(day)
+    move = lambda c: F.col(c) / F.lag(c).over(w) - 1
+    out = both.select("factor", F.lag(day).over(w).alias("start_date"), F.col(day).alias("end_date"), (move("long") - F.coalesce(move("short"), F.lit(0.0))).alias("value"))
+    return out.where("start_date is not null")
 
 
 # ---- cross-sections -----------------------------------------------------------------------------------------------

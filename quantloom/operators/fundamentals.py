@@ -16,30 +16,83 @@ def latest_facts(facts: DataFrame, aliases: dict[str, list[str]], key: str = "sy
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(key, "period_role", "name", "value", "period_end", "currency")
 
 
+# Each ratio's kind, numerator and denominator.
+RATIOS = (
+    ("revenue_growth", "growth", "revenue", "revenue"),
+    ("earnings_growth", "growth", "net_income", "net_income"),
+    ("operating_margin", "statement", "operating_income", "revenue"),
+    ("net_margin", "statement", "net_income", "revenue"),
+    ("return_on_equity", "statement", "net_income", "equity"),
+    ("free_cash_flow_margin", "statement", "free_cash_flow", "revenue"),
+    ("leverage", "statement", "total_debt", "equity"),
+    ("price_to_earnings", "valuation", "market_cap", "net_income"),
+    ("enterprise_value_to_ebitda", "valuation", "enterprise_value", "ebitda"),
+    ("free_cash_flow_yield", "yield", "free_cash_flow", "market_cap"),
+)
+#: What two facts of one statement have in common.
+STATEMENT = ("snapshot_ref", "period_end", "period_type", "period_ref", "currency")
+
+
+def _sides(facts: DataFrame, kinds: tuple[str, ...], key: str) -> tuple[DataFrame, DataFrame]:
+    """The numerators' and the denominators' facts, with the ratio's name as ``ratio``; other columns of the latter as d_*."""
+    asked = F.broadcast(facts.sparkSession.createDataFrame([r for r in RATIOS if r[1] in kinds], "ratio string, kind string, numerator string, denominator string"))  # ten rows
+    top = facts.join(asked.select("ratio", "kind", F.col("numerator").alias("metric")), "metric")
+    bottom = facts.join(asked.select("ratio", F.col("denominator").alias("metric")), "metric")
+    return top, bottom.select(F.col(key).alias("d_key"), F.col("ratio").alias("d_ratio"), *[F.col(c).alias(f"d_{c}") for c in facts.columns if c != key])
+
+
+def _quotients(facts: DataFrame, kinds: tuple[str, ...], fits: Column, key: str) -> DataFrame:
+    top, bottom = _sides(facts, kinds, key)
+    both = top.join(bottom, (F.col(key) == F.col("d_key")) & (F.col("ratio") == F.col("d_ratio")) & fits)
+    value = F.when(F.col("kind") == "growth", F.try_divide(F.col("value") - F.col("d_value"), F.col("d_value"))).otherwise(F.try_divide("value", "d_value"))
+    return both.select(key, F.col("ratio").alias("metric"), value.alias("value")).where("value is not null")
+
+
+def statement_ratios(facts: DataFrame, key: str = "symbol") -> DataFrame:
+    """Ratios of two current facts of one statement: equal snapshot, period end, type, reference and currency."""
+    same = [F.col(c) == F.col(f"d_{c}") for c in STATEMENT]
+    fits = (F.col("period_role") == "current") & (F.col("d_period_role") == "current")
+    for s in same:
+        fits = fits & s
+    return _quotients(facts, ("statement",), fits, key)
+
+
+def growths(facts: DataFrame, key: str = "symbol") -> DataFrame:
+    """Growth from a prior fact to a current one that names its period as the prior: equal snapshot, type and currency, and
+    a later end."""
+    fits = (F.col("period_role") == "current") & (F.col("d_period_role") == "prior") & (F.col("prior_period_ref") == F.col("d_period_ref")) & (F.col("period_end") > F.col("d_period_end"))
+    for c in ("snapshot_ref", "period_type", "currency"):
+        fits = fits & (F.col(c) == F.col(f"d_{c}"))
+    return _quotients(facts, ("growth",), fits, key)
+
+
+def valuations(facts: DataFrame, key: str = "symbol") -> DataFrame:
+    """Market values against current statement facts of their snapshot and currency that ended by the valuation, which is
+    no later than the market value's observation; a yield has the market value below."""
+
+    def fits(market: str, statement: str) -> Column:
+        m, s = (lambda c: F.col(market + c)), (lambda c: F.col(statement + c))
+        return (s("period_role") == "current") & (m("snapshot_ref") == s("snapshot_ref")) & (m("currency") == s("currency")) & (s("period_end") <= m("valuation_as_of")) & (m("valuation_as_of") <= m("observed_at"))
+
+    return _quotients(facts, ("valuation",), fits("", "d_"), key).unionByName(_quotients(facts, ("yield",), fits("d_", ""), key))
+
+
+def newest(facts: DataFrame, key: str = "symbol") -> DataFrame:
+    """The last observed fact of each metric and role; of those, the one of the latest period."""
+    w = W.Window.partitionBy(key, "metric", "period_role").orderBy(F.col("observed_at").desc_nulls_last(), F.col("period_end").desc_nulls_last(), F.col("snapshot_ref").desc_nulls_last())
+    return facts.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
 def ratios(facts: DataFrame, key: str = "symbol") -> DataFrame:
-    """Long (symbol, metric, value): growth between statements of one currency in order, ratios within one statement,
-    valuations against it. A zero denominator or a mismatch leaves the metric out and the others in."""
-    role = lambda r: F.col("period_role") == r
-    wide = facts.groupBy(key).agg(
-        *[F.max(F.when((F.col("metric") == m) & role(r), F.col("value"))).alias(f"{m}_{r}") for m in METRICS for r in ("current", "prior")],
-        F.max(F.when(role("current"), F.col("period_end"))).alias("end_current"), F.max(F.when(role("prior"), F.col("period_end"))).alias("end_prior"), F.count_distinct("currency").alias("currencies"),
-    )
-    have = set(wide.columns)
-    c = lambda n: F.col(n) if n in have else F.lit(None).cast("double")
-    one = F.col("currencies") == 1
-    grows = one & (F.col("end_current") > F.col("end_prior"))
-    ratio = lambda a, b: F.when(one, F.try_divide(c(a), c(b)))
-    growth = lambda m: F.when(grows, F.try_divide(c(f"{m}_current") - c(f"{m}_prior"), c(f"{m}_prior")))
-    out = {
-        "revenue_growth": growth("revenue"), "earnings_growth": growth("net_income"), "operating_margin": ratio("operating_income_current", "revenue_current"), "net_margin": ratio("net_income_current", "revenue_current"),
-        "return_on_equity": ratio("net_income_current", "equity_current"), "free_cash_flow": F.when(one, c("free_cash_flow_current")), "free_cash_flow_margin": ratio("free_cash_flow_current", "revenue_current"),
-        "leverage": ratio("total_debt_current", "equity_current"), "price_to_earnings": ratio("market_cap_current", "net_income_current"), "enterprise_value_to_ebitda": ratio("enterprise_value_current", "ebitda_current"), "free_cash_flow_yield": ratio("free_cash_flow_current", "market_cap_current"),
-    }
-    stack = ", ".join(f"'{m}', {m}" for m in out)
-    return wide.select(key, *[v.alias(m) for m, v in out.items()]).selectExpr(key, f"stack({len(out)}, {stack}) as (metric, value)").where("value is not null")
-
-
-METRICS = ("revenue", "net_income", "operating_income", "equity", "total_debt", "market_cap", "free_cash_flow", "enterprise_value", "ebitda")
+    """Long (symbol, metric, value) of all ratios whose facts may be compared, and the free cash flow itself.
+
+    ``facts`` has (symbol, metric, value, period_role, period_end, period_type, period_ref, prior_period_ref, snapshot_ref,
+    currency, valuation_as_of, observed_at). A pair that doesn't match, a null in what must match, or a zero denominator
+    leaves that ratio out and the others in.
+    """
+    rows = newest(facts, key)
+    cash = rows.where("metric = 'free_cash_flow' and period_role = 'current'").select(key, "metric", "value")
+    return statement_ratios(rows, key).unionByName(growths(rows, key)).unionByName(valuations(rows, key)).unionByName(cash)
 
 
 def filing_summary(filings: DataFrame, as_of: Column, key: str = "symbol") -> DataFrame:

@@ -151,15 +151,16 @@ def directional(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 1
     return adx, plus, minus
 
 
-RECURRENT = ("ema5", "ema10", "ema20", "rsi6", "rsi14", "macd", "macd_signal", "macd_hist", "atr14", "atr20", "atr60", "adx", "plus_di", "minus_di")
+RECURRENT = ("ema5", "ema10", "ema12", "ema20", "ema26", "rsi6", "rsi14", "macd", "macd_signal", "macd_hist", "atr14", "atr20", "atr60", "adx", "plus_di", "minus_di")
 
 
-def recurrences(bars: DataFrame, key: str = "symbol", day: str = "day") -> DataFrame:
-    """``bars`` (key, day, open, high, low, close, volume) with all recurrent indicators: one pass an instrument.
+def recurrences(bars: DataFrame, key: str = "symbol", day: str = "day", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``bars`` (key, day, open, high, low, close, volume, and the columns in ``keep``) with all recurrent indicators: one
+    pass an instrument. Rows that windows of the instrument have already brought together are not dealt again.
 
     A recurrence needs an instrument's bars in order, so one instrument is one task's group; instruments spread.
     """
-    columns = [key, day, "open", "high", "low", "close", "volume"]
+    columns = [key, day, "open", "high", "low", "close", "volume", *keep]
     rows = bars.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {c} double" for c in RECURRENT)
 
@@ -169,7 +170,7 @@ def recurrences(bars: DataFrame, key: str = "symbol", day: str = "day") -> DataF
         tr = true_range(h, lo, c)
         line, signal = macd(c)
         adx, plus, minus = directional(h, lo, c)
-        values = (ema(c, 5), ema(c, 10), ema(c, 20), rsi(c, 6), rsi(c, 14), line, signal, line - signal, wilder(tr, 14), wilder(tr, 20), wilder(tr, 60), adx, plus, minus)
+        values = (ema(c, 5), ema(c, 10), ema(c, 12), ema(c, 20), ema(c, 26), rsi(c, 6), rsi(c, 14), line, signal, line - signal, wilder(tr, 14), wilder(tr, 20), wilder(tr, 60), adx, plus, minus)
         return pdf.assign(**{name: pd.Series(v).astype("Float64").where(~np.isnan(v)) for name, v in zip(RECURRENT, values, strict=True)})
 
     return rows.groupBy(key).applyInPandas(run, schema)

@@ -81,7 +81,10 @@ def return_violations(returns: DataFrame, key: str = "symbol") -> DataFrame:
 
 
 def outcomes_of(bars: DataFrame, key: str = "symbol") -> DataFrame:
-    """Bars as outcome points entered at the close; high and low only if all of an instrument's bars have both."""
+    """Bars as outcome points entered at the close; high and low if all of an instrument's bars have both. Some bars with
+    both and some without are an error, as is a bar with only one of them."""
     w = W.Window.partitionBy(key)
-    both = F.min((F.col("high").isNotNull() & F.col("low").isNotNull()).cast("int")).over(w) == 1
+    whole = F.col("high").isNotNull() & F.col("low").isNotNull()
+    all_, any_ = F.min(whole.cast("int")).over(w) == 1, F.max((F.col("high").isNotNull() | F.col("low").isNotNull()).cast("int")).over(w) == 1
+    both = F.when(any_ & ~all_, F.raise_error(F.concat(F.lit("mixed high and low coverage: "), F.col(key))).cast("boolean")).otherwise(all_)
     return bars.select(key, "day", F.col("close").alias("value"), F.when(both, F.col("high")).alias("high"), F.when(both, F.col("low")).alias("low"), F.when(both, "high_low").otherwise("observed_value").alias("basis"))

@@ -67,7 +67,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly facts of each nation, long: (symbol, metric, period_role, value, period_end, currency)."""
+    """Yearly facts of each nation, long: (symbol, metric, period_role, value, period_end, currency, period_type, period_ref,
+    prior_period_ref, snapshot_ref, valuation_as_of, observed_at)."""
     place = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     rows = table(spark, sf_dir, "orders").join(place, F.col("o_custkey") == F.col("c_custkey"))
     year = F.year("o_orderdate")
@@ -80,7 +81,20 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = yearly.join(latest, "symbol").where("y in (last, last - 1)").withColumn("period_role", F.when(F.col("y") == F.col("last"), "current").otherwise("prior"))
     names = ("revenue", "net_income", "operating_income", "equity", "total_debt", "market_cap")
     stack = ", ".join(f"'{n}', {n}" for n in names)
-    return two.selectExpr("symbol", "period_role", "make_date(y, 12, 31) as period_end", "'USD' as currency", f"stack({len(names)}, {stack}) as (metric, value)").where("value is not null")
+    keys = ["'annual' as period_type", "cast(y as string) as period_ref", "if(period_role = 'current', cast(y - 1 as string), null) as prior_period_ref", "'s1' as snapshot_ref", "make_date(y + 1, 1, 31) as valuation_as_of", "make_date(y + 1, 2, 28) as observed_at"]
+    return two.selectExpr("symbol", "period_role", "make_date(y, 12, 31) as period_end", "'USD' as currency", *keys, f"stack({len(names)}, {stack}) as (metric, value)").where("value is not null")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facts() of which some don't match the others: by the last digit of the nation the net income is of another
+    snapshot (0, 1), the equity of another currency (2, 3), the prior period another one (4, 5), or the market
+    value as of a day before the period's end (6, 7) or after its observation (8)."""
+    rows = facts(spark, sf_dir)
+    last = F.right("symbol", F.lit(1))
+    other = lambda column, metric, letters, value: F.when(last.isin(*letters) & (F.col("metric") == metric), value).otherwise(F.col(column))
+    rows = rows.withColumn("snapshot_ref", other("snapshot_ref", "net_income", "01", F.lit("s2"))).withColumn("currency", other("currency", "equity", "23", F.lit("EUR")))
+    rows = rows.withColumn("prior_period_ref", F.when(last.isin(*"45"), F.lit("1900")).otherwise(F.col("prior_period_ref")))
+    return rows.withColumn("valuation_as_of", F.when(last.isin(*"67"), F.date_sub("period_end", 1)).when(last.isin(*"8"), F.date_add("observed_at", 1)).otherwise(F.col("valuation_as_of")))
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +150,7 @@ FACTS_SQL = """yearly AS (
 ), two AS (
   SELECT y.*, CASE WHEN y.y = l.last THEN 'current' ELSE 'prior' END AS period_role FROM yearly y JOIN latest l USING (symbol) WHERE y.y IN (l.last, l.last - 1)
 ), facts AS (
-  SELECT symbol, period_role, make_date(y, 12, 31) AS period_end, 'USD' AS currency, metric, value
+  SELECT symbol, period_role, y, make_date(y, 12, 31) AS period_end, 'USD' AS currency, metric, value
   FROM (UNPIVOT two ON revenue, net_income, operating_income, equity, total_debt, market_cap INTO NAME metric VALUE value)
 )"""
 FILINGS_SQL = """filings AS (

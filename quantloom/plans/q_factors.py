@@ -167,9 +167,19 @@ def _fac13(spark, sf_dir):
     return rounded(fa.monitor(_study(spark, sf_dir)))
 
 
-@query("fac16_presets", "SELECT * FROM (VALUES " + ", ".join(f"('us_etf', '{a}', '{b}')" for a, b in fa.PRESETS["us_etf"]) + ") t(preset, factor, legs)")
+@query("fac16_presets", f"""WITH {P.WALK_SQL}, named AS (
+  SELECT CASE symbol WHEN 'AFRICA' THEN 'IWB' WHEN 'AMERICA' THEN 'IWF' WHEN 'ASIA' THEN 'IWD' ELSE 'MTUM' END AS leg, day, close FROM walk WHERE symbol <> 'MIDDLE EAST'
+), f AS (
+  SELECT 'market' AS factor, day, close AS a, NULL::DOUBLE AS b FROM named WHERE leg = 'IWB'
+  UNION ALL SELECT 'growth_minus_value', x.day, x.close, y.close FROM named x JOIN named y USING (day) WHERE x.leg = 'IWF' AND y.leg = 'IWD'
+  UNION ALL SELECT 'momentum_minus_market', x.day, x.close, y.close FROM named x JOIN named y USING (day) WHERE x.leg = 'MTUM' AND y.leg = 'IWB'
+), r AS (
+  SELECT factor, lag(day) OVER w AS start_date, day AS end_date, a / lag(a) OVER w - 1 - coalesce(b / lag(b) OVER w - 1, 0) AS value FROM f WINDOW w AS (PARTITION BY factor ORDER BY day)
+) SELECT factor, start_date, end_date, round(value, 6) AS value FROM r WHERE start_date IS NOT NULL""")
 def _fac16(spark, sf_dir):
-    return spark.createDataFrame([("us_etf", a, b) for a, b in fa.PRESETS["us_etf"]], "preset string, factor string, legs string")
+    names = F.create_map(*[F.lit(x) for x in ("AFRICA", "IWB", "AMERICA", "IWF", "ASIA", "IWD", "EUROPE", "MTUM")])
+    walk = P.walk(spark, sf_dir).withColumn("symbol", names[F.col("symbol")]).where("symbol is not null")
+    return rounded(fa.preset(walk, "us_etf"))
 
 
 _XS = P.UNIVERSE_SQL + """, me AS (SELECT symbol, last_day(day) AS month, arg_max(close, day) AS c FROM universe GROUP BY ALL), mr AS (SELECT symbol, month, year(month) * 12 + month(month) AS m, round(c / lag(c) OVER (PARTITION BY symbol ORDER BY month) - 1, 10) AS value FROM me), mm AS (SELECT * FROM mr WHERE value IS NOT NULL), sc AS (

@@ -8,6 +8,7 @@ from quantloom.operators import backtest, signals
 from quantloom.operators import fundamentals as fu
 from quantloom.plans import panels as P
 from quantloom.plans.q_risk import _RISK, rounded
+from quantloom.plans.q_windows import FEATURES_SQL
 from quantloom.sources import files, sinks
 
 QUERIES: dict = {}
@@ -34,8 +35,32 @@ def _skl01(spark, sf_dir):
     return rounded(fu.ratios(P.facts(spark, sf_dir)))
 
 
-for _n in ("join13_statement_ratio", "join14_growth", "join15_valuation"):
-    QUERIES[_n], SQL[_n] = QUERIES["skl01_fundamental"], _RATIOS
+_STATEMENTS = P.FACTS_SQL + """, st AS (
+  SELECT symbol, metric, period_role, value, period_end, y, right(symbol, 1) AS l,
+    CASE WHEN metric = 'net_income' AND right(symbol, 1) IN ('0', '1') THEN 's2' ELSE 's1' END AS snapshot,
+    CASE WHEN metric = 'equity' AND right(symbol, 1) IN ('2', '3') THEN 'EUR' ELSE 'USD' END AS currency FROM facts
+), pairs AS (
+  SELECT a.symbol, a.l, a.metric AS top, b.metric AS bottom, a.value AS v, b.value AS w, a.snapshot = b.snapshot AND a.currency = b.currency AS alike, a.period_role AS ra, b.period_role AS rb, a.y AS ya, b.y AS yb
+  FROM st a JOIN st b USING (symbol)
+)"""
+
+
+@query("join13_statement_ratio", f"""WITH {_STATEMENTS} SELECT symbol, CASE top || '/' || bottom WHEN 'operating_income/revenue' THEN 'operating_margin' WHEN 'net_income/revenue' THEN 'net_margin' WHEN 'net_income/equity' THEN 'return_on_equity' WHEN 'total_debt/equity' THEN 'leverage' END AS metric, round(v / w, 6) AS value
+FROM pairs WHERE alike AND ra = 'current' AND rb = 'current' AND ya = yb AND top || '/' || bottom IN ('operating_income/revenue', 'net_income/revenue', 'net_income/equity', 'total_debt/equity')""")
+def _join13(spark, sf_dir):
+    return rounded(fu.statement_ratios(P.statements(spark, sf_dir)))
+
+
+@query("join14_growth", f"""WITH {_STATEMENTS} SELECT symbol, CASE top WHEN 'revenue' THEN 'revenue_growth' ELSE 'earnings_growth' END AS metric, round((v - w) / w, 6) AS value
+FROM pairs WHERE alike AND top = bottom AND top IN ('revenue', 'net_income') AND ra = 'current' AND rb = 'prior' AND ya = yb + 1 AND l NOT IN ('4', '5')""")
+def _join14(spark, sf_dir):
+    return rounded(fu.growths(P.statements(spark, sf_dir)))
+
+
+@query("join15_valuation", f"""WITH {_STATEMENTS} SELECT symbol, 'price_to_earnings' AS metric, round(v / w, 6) AS value
+FROM pairs WHERE alike AND top = 'market_cap' AND bottom = 'net_income' AND ra = 'current' AND rb = 'current' AND l NOT IN ('6', '7', '8')""")
+def _join15(spark, sf_dir):
+    return rounded(fu.valuations(P.statements(spark, sf_dir).where("period_role = 'current'")))
 
 
 @query("flt12_latest_metric", f"WITH {P.FACTS_SQL} SELECT symbol, period_role, 'income' AS name, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY symbol, period_role ORDER BY CASE metric WHEN 'operating_income' THEN 0 ELSE 1 END, period_end DESC) AS r FROM facts WHERE metric IN ('operating_income', 'net_income')) WHERE r = 1")
@@ -89,7 +114,7 @@ def _src20(spark, sf_dir):
     return files.cik_map(content, spark.createDataFrame([("bbb", "99")], "symbol string, cik string"))
 
 
-@query("src21_filings_scan", f"WITH {P.FILINGS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filing_date, form) AS r FROM filings) SELECT symbol, form, filing_date, contains(form, '/A') AS is_amendment FROM l WHERE r <= 8")
+@query("src21_filings_scan", f"WITH {P.FILINGS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY filing_date, form) AS r FROM filings) SELECT symbol, form, filing_date, contains(form, '/A') AS is_amendment FROM l WHERE r <= 64")
 def _src21(spark, sf_dir):
     one = P.filings(spark, sf_dir).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("filing_date", "form"))).alias("z"))
     text = one.select("symbol", F.to_json(F.struct(F.col("z.form").alias("form"), F.transform("z.filing_date", lambda d: d.cast("string")).alias("filingDate"), F.transform("z.form", lambda _: F.lit("x")).alias("accessionNumber"))).alias("content"))
@@ -112,7 +137,7 @@ def _src25(spark, sf_dir):
 
 
 #: Control, zero-width, direction and byte-order characters that texts are cleaned of.
-UNSAFE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F​-‏‪-‮⁠-⁤﻿]"
+UNSAFE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF]"
 
 
 @query("fn01_sanitised_text", r"SELECT doc_id, length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g'))::INT AS n FROM documents")
@@ -136,9 +161,10 @@ def _fn15(spark, sf_dir):
     return P.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 8, 2).alias("value"))
 
 
-@query("set04_ordered_distinct", "SELECT o_custkey, array_to_string(list_distinct([o_orderstatus, o_orderpriority[1:1], o_orderstatus])::VARCHAR[], ',') IS NOT NULL AS ok FROM orders")
+@query("set04_ordered_distinct", "SELECT o_orderkey, o_orderstatus || CASE WHEN left(o_orderkey::VARCHAR, 1) <> '1' THEN ',' || left(o_orderkey::VARCHAR, 1) ELSE '' END || ',1' AS distinct_values FROM orders")
 def _set04(spark, sf_dir):
-    return P.table(spark, sf_dir, "orders").select("o_custkey", F.concat_ws(",", F.array_distinct(F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1), "o_orderstatus"))).isNotNull().alias("ok"))
+    values = F.array("o_orderstatus", F.substring(F.col("o_orderkey").cast("string"), 1, 1), F.lit("1"), "o_orderstatus", F.lit("1"))
+    return P.table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", F.array_distinct(values)).alias("distinct_values"))
 
 
 @query("flt08_membership", f"WITH {P.WALK_SQL} SELECT symbol, count(*) AS n FROM walk WHERE (symbol <> 'ASIA' OR day >= DATE '1994-01-01') AND (symbol <> 'EUROPE' OR day <= DATE '1996-06-30') GROUP BY symbol")
@@ -169,7 +195,9 @@ def _bt01(spark, sf_dir):
     return rounded(backtest.trades(*_bt(spark, sf_dir)))
 
 
-@query("bt03_action_flags", "")
+@query("bt03_action_flags", f"""WITH {FEATURES_SQL}, c AS (SELECT symbol, day, round(sma20, 8) AS l, round(sma50, 8) AS r FROM features), a AS (
+  SELECT symbol, day, CASE WHEN lag(l) OVER w <= lag(r) OVER w AND l > r THEN 'add_long' WHEN lag(l) OVER w >= lag(r) OVER w AND l < r THEN 'exit_long' END AS action FROM c WINDOW w AS (PARTITION BY symbol ORDER BY day)
+) SELECT symbol, action, count(*) AS n FROM a GROUP BY ALL""")
 def _bt03(spark, sf_dir):
     return backtest.flagged(*_bt(spark, sf_dir)).groupBy("symbol", "action").agg(F.count("*").alias("n"))
 

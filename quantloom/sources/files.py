@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
+# The input tables' column names.
 PRICE_COLUMNS = ("symbol", "market", "observed_at", "open", "high", "low", "close", "volume")
-FACT_COLUMNS = ("symbol", "market", "metric", "value", "observed_at", "period_role", "period_end", "period_type", "period_ref", "prior_period_ref", "snapshot_ref", "currency")
+FACT_COLUMNS = ("symbol", "market", "metric", "value", "observed_at", "period_role", "period_end", "period_type", "period_ref", "prior_period_ref", "snapshot_ref", "currency", "valuation_as_of", "vendor_field")
 
 
 def _typed(df: DataFrame, wanted: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:

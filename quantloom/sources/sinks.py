@@ -37,13 +37,24 @@ def bounded(observations: DataFrame, most: int = 256, key: str = "symbol") -> Da
 
 
 def run_queue(spark: SparkSession, requests: str, out: str, checkpoint: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
-    """Work off request files: each micro-batch runs the analysts asked for once; the checkpoint is the claim, and a
-    repeated batch finds its results written."""
+    """Work off request files: each micro-batch runs every analyst asked for once; the checkpoint is the claim, and a
+    repeated batch finds its results written. ``run`` refuses an analyst that it doesn't know with a KeyError; the
+    requests of that analyst, and those without one, go to ``{out}_refused`` with the reason."""
 
     def batch(df: DataFrame, number: int) -> None:
-        for analyst in [r["analyst"] for r in df.select("analyst").distinct().limit(64).collect()]:
-            wanted = df.where(F.col("analyst") == analyst).select("request_id", "symbol")
-            run(spark, analyst).join(wanted, "symbol").write.mode("overwrite").parquet(f"{out}/batch={number}/analyst={analyst}")
+        df = df.persist()
+        refused = df.where("analyst is null").withColumn("reason", F.lit("no analyst"))
+        for row in df.where("analyst is not null").select("analyst").distinct().toLocalIterator():
+            asked = df.where(F.col("analyst") == row.analyst)
+            try:
+                found = run(spark, row.analyst)
+            except KeyError:
+                refused = refused.unionByName(asked.withColumn("reason", F.lit("unknown analyst")))
+                continue
+            folder = "".join(c if c.isalnum() or c in "-_." else f"%{ord(c):02X}" for c in row.analyst)
+            found.join(asked.select("request_id", "symbol"), "symbol").write.mode("overwrite").parquet(f"{out}/batch={number}/analyst={folder}")
+        refused.write.mode("overwrite").parquet(f"{out}_refused/batch={number}")
+        df.unpersist()
 
     stream = spark.readStream.schema(REQUEST).json(requests)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

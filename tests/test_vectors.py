@@ -174,7 +174,9 @@ def test_signals_do_not_change_when_bars_are_added(spark):
 
 
 def test_worth_buy_and_price_action_run_on_short_and_empty_input(spark):
-    assert analysts.worth_buy(bars(spark, [100.0] * 10)).count() == 0
+    short = analysts.worth_buy(bars(spark, [100.0] * 10)).first()
+    assert (short.verdict, short.composite, short.entry_price) == ("cannot_score", None, None)
+    assert analysts.worth_buy(bars(spark, [100.0] * 10).where("false")).count() == 0
     assert analysts.worth_buy(bars(spark, [100 + 0.1 * i for i in range(260)])).first().verdict in ("buy", "watch", "no", "reduce_risk")
     assert analysts.pivots(analysts.with_gaps(bars(spark, []))).count() == 0
 

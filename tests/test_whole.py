@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import backtest
+from quantloom.operators import analysts, backtest, fundamentals, indicators, validation
 from quantloom.operators import factors as fa
 from quantloom.plans import catalog
 from quantloom.plans import panels as P
+from quantloom.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,62 @@ def test_srt05_keeps_trade_bars(spark):
         got = backtest.sampled(curve, done, most).groupBy("symbol").agg(F.sort_array(F.collect_list("bar")).alias("z"))
         want = {s: presented(n, {b for t in trades.get(s, []) for b in t if b is not None}, most) for s, n in sizes.items()}
         assert {r.symbol: r.z for r in got.collect()} == want
+
+
+def test_queue_works_off_every_analyst(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(f'{{"request_id": "{i}", "analyst": "x{i}", "symbol": "A"}}\n' for i in range(70)) + '{"request_id": "r", "analyst": "?", "symbol": "A"}\n{"request_id": "n", "symbol": "A"}\n')
+
+    def run(s, name):
+        if name == "?":
+            raise KeyError(name)
+        return s.createDataFrame([("A", 1.0)], "symbol string, value double")
+
+    sinks.run_queue(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), run)
+    assert {r.request_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {str(i) for i in range(70)}
+    assert {(r.request_id, r.reason) for r in spark.read.parquet(str(tmp_path / "out_refused")).collect()} == {("r", "unknown analyst"), ("n", "no analyst")}
+
+
+def test_presets_are_the_stated_ones(spark):
+    assert [f[0] for f in fa.PRESETS["french"]] == ["market_excess", "smb", "hml", "rmw", "cma", "momentum"]
+    days = ["2024-01-02", "2024-01-03", "2024-01-04"]
+    prices = {"IWB": [100, 110, 121], "IWF": [50, 60, 60], "IWD": [10, 11, 11], "MTUM": [20, 22, None], "SPY": [1, 2, 3]}
+    rows = [(s, d, float(p)) for s, ps in prices.items() for d, p in zip(days, ps, strict=True) if p is not None]
+    got = {(r.factor, str(r.end_date)): round(r.value, 9) for r in fa.preset(spark.createDataFrame(rows, "symbol string, day string, close double"), "us_etf").collect()}
+    assert got == {("market", days[1]): 0.1, ("market", days[2]): 0.1, ("growth_minus_value", days[1]): 0.1, ("growth_minus_value", days[2]): 0.0, ("momentum_minus_market", days[1]): 0.0}
+
+
+def test_technical_basic_ignores_invalid_bars(spark):
+    days = pd.bdate_range("2024-01-01", periods=80)
+    rows = [("A", d.date(), 10.0 + i % 7, 30.0, 5.0, 10.0 + i % 5, 100.0) for i, d in enumerate(days)]
+    kind = "symbol string, day date, open double, high double, low double, close double, volume double"
+    bad = ("A", pd.Timestamp("2024-01-06").date(), 10.0, 5.0, 50.0, 9999.0, 1.0)
+    clean, dirty = spark.createDataFrame(rows, kind), spark.createDataFrame([*rows, bad], kind)
+    assert analysts.technical_basic(clean).collect() == analysts.technical_basic(dirty).collect()
+    want = indicators.ema(np.array([r[5] for r in rows]), 26)[-1]
+    assert np.isclose(analysts.technical_basic(dirty).first().ema26, want)
+
+
+def test_outcomes_refuse_mixed_coverage(spark):
+    rows = [("A", 1, 1.0, 2.0, 0.5), ("A", 2, 1.0, None, None), ("B", 1, 1.0, None, None)]
+    bars = spark.createDataFrame(rows, "symbol string, day int, close double, high double, low double")
+    assert validation.outcomes_of(bars.where("symbol = 'B'")).first().basis == "observed_value"
+    with pytest.raises(Exception, match="mixed"):
+        validation.outcomes_of(bars).collect()
+
+
+def test_ratios_need_matching_statements(spark):
+    kind = "symbol string, metric string, value double, period_role string, period_end string, period_type string, period_ref string, prior_period_ref string, snapshot_ref string, currency string, valuation_as_of string, observed_at string"
+    base = {"symbol": "A", "period_end": "2023-12-31", "period_type": "annual", "period_ref": "23", "prior_period_ref": "22", "snapshot_ref": "s", "currency": "USD", "valuation_as_of": "2024-02-01", "observed_at": "2024-03-01", "period_role": "current"}
+    prior = {"period_role": "prior", "period_end": "2022-12-31", "period_ref": "22", "prior_period_ref": None}
+    names = [c.split()[0] for c in kind.split(", ")]
+    rows = lambda *changes: spark.createDataFrame([tuple((base | c)[n] for n in names) for c in changes], kind)
+    revenue, income, before = {"metric": "revenue", "value": 100.0}, {"metric": "net_income", "value": 10.0}, {"metric": "revenue", "value": 80.0, **prior}
+    cap = {"metric": "market_cap", "value": 200.0}
+    got = lambda *c: {r.metric: r.value for r in fundamentals.ratios(rows(*c)).collect()}
+    assert got(revenue, income, before, cap) == {"net_margin": 0.1, "revenue_growth": 0.25, "price_to_earnings": 20.0}
+    assert got(revenue, income | {"snapshot_ref": "t"}, before, cap) == {"revenue_growth": 0.25}
+    assert got(revenue, income, before | {"currency": "EUR"}, cap | {"currency": "EUR"}) == {"net_margin": 0.1}
+    assert got(revenue, income, before | {"period_ref": "21"}, cap | {"valuation_as_of": "2024-03-02"}) == {"net_margin": 0.1}
+    assert got(revenue, income | {"period_ref": None}, cap | {"valuation_as_of": "2023-12-30"}) == {}
+    assert got(revenue, income | {"value": 0.0}, cap) == {"net_margin": 0.0}
