@@ -8,11 +8,13 @@ whose lowest cross-entropy lies too far above what held-back training texts of t
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,20 +26,31 @@ ORDER = 4
 #: Bounds of the training sample: documents of one language, and characters of all languages together.
 SAMPLE_DOCS = 600
 SAMPLE_CHARS = 16_000_000
-#: A text is rejected if its cross-entropy exceeds its language's usual one by this many spreads and this factor.
-REJECT_SPREADS = 8.0
+#: Groups by hash that the sample's smallest hashes are first taken from, so that no task gets a whole language.
+SAMPLE_GROUPS = 64
+#: The most of a language's own texts that may be rejected. Whatever the distribution, no more than this share lies
+#: sqrt(1 / rate - 1) spreads above the mean (Cantelli's bound), and rejected texts lie above REJECT_FACTOR as well.
+REJECT_RATE = 1 / 65
+REJECT_SPREADS = math.sqrt(1 / REJECT_RATE - 1)
 REJECT_FACTOR = 2.0
 UNDETERMINED = "und"
 #: Units (words with what clings to them) whose scores a task keeps; the table is emptied when full.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 200_000
 #: Letter runs that are scored at once.
 _RUNS = 10_000
 
-_RUN = re.compile(r"[^\W\d_]+")
+_ASCII_RUN = re.compile(r"[A-Za-z]+")
+#: Letters and the marks on them; numbers that Python calls alphanumeric, such as fractions, are none.
+_RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _START, _END = 1, 2
 _PRIME = np.uint64(0x100000001B3)
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters in lower case."""
+    return (_ASCII_RUN if text.isascii() else _RUN).findall(text.lower())
+
+
 def _hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
     """For each position the hashes of the 1- to ``order``-grams that end there."""
     out, n = [], len(chars)
@@ -158,15 +171,19 @@ def fit(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
         mass = tables[0][lang][3]
         top[0, i] = mass[0] if len(mass) else 1.0
     lefts[-1] = top
+    letters.discard(_START)  # it is never predicted; what is, are the letters, the end, and one unseen character
     none = np.zeros(len(languages))
     return Model(languages, order, grams, shares, lefts, 1.0 / (len(letters) + 1), none, none)
 
 
 def calibrate(model: Model, scores: dict[str, list[tuple[float, int]]]) -> Model:
-    """The usual cross-entropy of each language and its spread over texts, from held-back texts (cross-entropy, characters)."""
+    """The usual cross-entropy of each language and its spread over texts, from held-back texts (cross-entropy, characters).
+
+    A language without such texts has those of all languages together; without any at all nothing is rejected."""
     usual, spread = [], []
+    every = [x for found in scores.values() for x in found]
     for lang in model.languages:
-        found = np.array(scores.get(lang) or [(np.inf, 1)])
+        found = np.array(scores.get(lang) or every or [(np.inf, 1)])
         mean = float(np.average(found[:, 0], weights=found[:, 1]))
         usual.append(mean)
         spread.append(max(0.5, float(np.sqrt(np.mean((found[:, 0] - mean) ** 2 * found[:, 1])))) if np.isfinite(mean) else 1.0)
@@ -189,7 +206,7 @@ class Scorer:
     def _learn(self, units: list[str]) -> None:
         runs, who = [], []
         for i, unit in enumerate(units):
-            for run in _RUN.findall(unit.lower()):
+            for run in letter_runs(unit):
                 runs.append(run)
                 who.append(i)
         total, chars = np.zeros((len(units), len(self.model.languages))), np.zeros(len(units), np.int64)
@@ -241,7 +258,7 @@ def _count_batches(batches):
     for batch in batches:
         seen: dict[tuple, int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for run in _RUN.findall(text.lower()):
+            for run in letter_runs(text):
                 seen[lang, run] = seen.get((lang, run), 0) + 1
         yield pa.RecordBatch.from_pydict({
             "lang": pa.array([k[0] for k in seen], pa.string()),
@@ -256,13 +273,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The sample has, for each language, the documents with the smallest hash of their id: at most SAMPLE_DOCS, and in
     all at most SAMPLE_CHARS characters shared equally by the languages. A text gives its start, up to a quarter of its
     language's share and to what is left of it. Three quarters fit the model and one quarter calibrates the rejection;
-    of two or three texts the last calibrates, and a single text fits, so that its language rejects nothing.
+    of two or three texts the last calibrates, and a single text fits, so that its language is calibrated on the others'.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(text_col).alias("n"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     may = rows.where(F.col("lang").isNotNull() & (F.coalesce("n", F.lit(0)) > 0) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     by = W.Window.partitionBy("lang").orderBy("h", "n", "id")
+    group = W.Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_GROUPS))).orderBy("h", "n", "id")
+    may = may.withColumn("r", F.row_number().over(group)).where(F.col("r") <= SAMPLE_DOCS).drop("r")
     first = may.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_DOCS).checkpoint()
     share = SAMPLE_CHARS // max(1, first.select("lang").distinct().count())
     taken = first.withColumn("take", F.least(F.col("n"), F.lit(max(1, share // 4)))).withColumn("most", F.max("r").over(W.Window.partitionBy("lang")))
