@@ -163,7 +163,20 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> {}) & 31)::INT + 1, 1)"
+_WARC_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, h, array_to_string(list_transform(list_transform([1, 11, 21, 31], lambda pos: ('0x' || substr(h, pos, 10))::BIGINT),
+    lambda x: {" || ".join(_DIGIT.format(35 - 5 * k) for k in range(8))}), '') AS payload_digest, max(page_id) OVER (PARTITION BY h, payload_bytes) AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": _WARC_SQL,
     "op1_tiered_compaction": _COMPACTION_SQL,
     "op2_bm25_top_k": _BM25_SQL,
     "op7_substring_dedup": _SUBSTRING_SQL,

@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import gzip
 import io
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, Not, StringContains, StringStartsWith
 
-from quantloom.llm.base import checked, prepare
+from quantloom.llm.base import checked, file_system, prepare, qualified
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, content_length bigint, payload_digest string, refers_to string, headers map<string,string>, payload binary"
 #: Columns that are one header each.
@@ -106,12 +105,6 @@ class Files(InputPartition):
         self.paths = paths
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    if re.match(r"file:/+", uri):
-        return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
-
-
 def records(stream: io.BufferedIOBase, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the records of an uncompressed stream that ``wanted(headers)`` accepts. The payloads of
     the others are passed over unread; so are all, with ``payload`` false."""
@@ -149,41 +142,37 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
-        self.tests: list[tuple[str, str, tuple]] = []
-
-    def _key(self, attribute: tuple[str, ...]) -> str | None:
-        if attribute[0] == "headers" and len(attribute) == 2:
-            return attribute[1].lower()
-        return HEADERS.get(attribute[0]) if len(attribute) == 1 else None
+        self.columns = HEADERS | extra_columns(options)
+        self.tests: list[tuple[str, bool, str, tuple]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Take equality, membership, prefix, substring and not-null tests of headers; return the others."""
+        """Take equality, membership, prefix, substring and not-null tests of header columns, and their negations; return
+        the others."""
         for f in filters:
-            key = self._key(f.attribute) if hasattr(f, "attribute") else None
-            if key and isinstance(f, EqualTo):
-                self.tests.append((key, "in", (f.value,)))
-            elif key and isinstance(f, In):
-                self.tests.append((key, "in", tuple(f.value)))
-            elif key and isinstance(f, StringStartsWith):
-                self.tests.append((key, "starts", (f.value,)))
-            elif key and isinstance(f, StringContains):
-                self.tests.append((key, "contains", (f.value,)))
-            elif key and isinstance(f, IsNotNull):
-                self.tests.append((key, "there", ()))
+            test = f.child if isinstance(f, Not) else f
+            key = self.columns.get(test.attribute[0]) if hasattr(test, "attribute") and len(test.attribute) == 1 else None
+            how = {EqualTo: "in", In: "in", StringStartsWith: "starts", StringContains: "contains", IsNotNull: "there"}.get(type(test))
+            if key and how and not (how == "there" and test is not f):
+                value = getattr(test, "value", None)
+                self.tests.append((key, test is f, how, tuple(value) if isinstance(test, In) else (value,)))
             else:
                 yield f
 
     def wanted(self, headers: dict[str, str]) -> bool:
-        for key, how, values in self.tests:
+        """Whether a record passes all tests taken; a test of a header that isn't there is never passed, as in SQL."""
+        for key, yes, how, values in self.tests:
             x = headers.get(key)
-            if x is None or how == "in" and x not in values or how == "starts" and not x.startswith(values) or how == "contains" and values[0] not in x:
+            if x is None:
+                return False
+            found = how == "there" or x in values if how in ("in", "there") else x.startswith(values[0]) if how == "starts" else values[0] in x
+            if found != yes:
                 return False
         return True
 
     def partitions(self) -> list[InputPartition]:
         found: list[tuple[str, int]] = []
         for uri in self.path.split(","):
-            system, path = _open(uri)
+            system, path = file_system(uri)
             info = system.get_file_info(path)
             if info.type == pafs.FileType.NotFound:
                 raise FileNotFoundError(uri)
@@ -204,7 +193,7 @@ class WarcReader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         for uri in partition.paths:
-            system, path = _open(uri)
+            system, path = file_system(uri)
             with system.open_input_file(path) as raw:
                 zipped = raw.read(2) == b"\x1f\x8b"
                 raw.seek(0)
@@ -215,40 +204,49 @@ class WarcReader(DataSourceReader):
                     rows.append((headers, body))
                     held += len(body or b"") + 500
                     if held >= _BATCH_BYTES:
-                        yield _batch(rows)
+                        yield _batch(rows, self.columns)
                         rows, held = [], 0
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, self.columns)
+
+
+def extra_columns(options: dict[str, str]) -> dict[str, str]:
+    """Column and header of the further headers that the option ``headers`` names, separated by commas."""
+    names = [h.strip().lower() for h in options.get("headers", "").split(",") if h.strip()]
+    return {h.replace("-", "_"): h for h in names}
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    column = {name: pa.array([h.get(key) for h, _ in rows], pa.string()) for name, key in HEADERS.items()}
+def _batch(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    column = {name: pa.array([h.get(key) for h, _ in rows], pa.string()) for name, key in columns.items()}
     column["content_length"] = pa.array([int(h.get("content-length", 0)) for h, _ in rows], pa.int64())
     column["headers"] = pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string()))
     column["payload"] = pa.array([b for _, b in rows], pa.binary())
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
+    names = [part.split()[0] for part in SCHEMA.split(", ")] + [n for n in columns if n not in HEADERS]
     return pa.RecordBatch.from_arrays([column[n] for n in names], names)
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").load(path)``; option payload=false leaves payloads null and unread."""
+    """``spark.read.format("warc").load(path)``; option payload=false leaves payloads null and unread, option
+    headers=a,b adds a column for each of these headers (hyphens become underscores), whose tests go down to the file
+    like those of the fixed columns. Tests of ``headers[...]`` stay above the scan."""
 
     @classmethod
     def name(cls) -> str:
         return "warc"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + "".join(f", `{name}` string" for name in extra_columns(self.options))
 
     def reader(self, schema) -> WarcReader:
         return WarcReader(self.options)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records under ``path``, an archive or a folder of them, plain or gzip. An empty folder gives no rows."""
+def read(spark: SparkSession, path: str, payload: bool = True, headers: tuple[str, ...] = ()) -> DataFrame:
+    """The records under ``path``, an archive or a folder of them, plain or gzip. An empty folder gives no rows. Turns on
+    the session's filter pushdown to Python sources, without which the source could take no test."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("headers", ",".join(headers)).load(qualified(spark, path))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -263,6 +261,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     own = sha1_base32(F.col("payload"))
     bad = F.raise_error(F.concat(F.lit("payload differs from its digest: "), "record_id"))
     full = full.select(row("record_id").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.when(own == said, own).otherwise(bad).alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
-    heads = read(spark, path, payload=False).where(F.col("record_type") == "revisit")
-    heads = heads.select(row("record_id").alias("page_id"), F.col("headers")["x-payload-length"].cast("bigint").alias("payload_bytes"), said.alias("payload_digest"), "record_type", row("refers_to").alias("refers_to"))
+    heads = read(spark, path, payload=False, headers=("x-payload-length",)).where(F.col("record_type") == "revisit")
+    heads = heads.select(row("record_id").alias("page_id"), F.col("x_payload_length").cast("bigint").alias("payload_bytes"), said.alias("payload_digest"), "record_type", row("refers_to").alias("refers_to"))
     return full.unionByName(heads)
