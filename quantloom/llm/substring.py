@@ -7,8 +7,9 @@ i + d and j + d into the cover, so two equal windows always share an anchor at t
 anchors are then extended to the windows around them, and these are compared whole by 128-bit hash.
 
 Three passes over the texts, one shuffle of them and two of hashes. Hashes travel in blobs: one row for each batch and
-hash bucket, unpacked by NumPy in one task a bucket. Anchors need not be exact, so they carry 48 bits of hash. An occurrence that its own batch already decides goes to a bucket by
-document instead of by hash, so a hash sends one document's entries per batch to its bucket, however common it is.
+hash bucket, unpacked by NumPy bucket by bucket. Anchors need not be exact, so they carry 48 bits of hash. An occurrence
+that its own batch already decides goes to a bucket by document instead of by hash, so a hash sends one document's
+entries per batch to its bucket, however common it is.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ COVER = (0, 1, 3)
 #: A window holds PERIOD shifts of an anchor of this length.
 ANCHOR = WINDOW - PERIOD + 1
 
+#: Bytes of input whose texts one task of the later passes gets.
+TASK_BYTES = 16 << 20
+
 _NULL_ID = np.iinfo(np.int64).max
 _FIELDS = {"hi": np.uint64, "lo": np.uint64, "id": np.int64, "key": np.int64, "at": np.uint32, "sure": np.uint8}
 
@@ -233,14 +237,16 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     prepare(docs.sparkSession)
     buckets = buckets_for(docs, 12 << 20)
-    rows = docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
+    plain = docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
+    # explicit numbers of partitions, which grow with the input: a task gets a bucket or two, or about TASK_BYTES of texts
+    rows = plain.repartition(buckets_for(docs, TASK_BYTES), _KEY)
 
     def asked(entries: DataFrame, shared: bool, wide: bool) -> DataFrame:
-        said = entries.groupBy("bucket").applyInArrow(_answers(shared, wide), "id bigint, key bigint, places binary")
+        said = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers(shared, wide), "id bigint, key bigint, places binary")
         return said.groupBy("key").agg(F.collect_list(F.struct("id", "places")).alias(_SAID)).withColumnRenamed("key", "__k")
 
     blobs = "bucket bigint, blob binary"
-    anchors = asked(rows.select(_KEY, F.col(text_col)).mapInArrow(_anchor_batches(buckets), blobs), True, False)
+    anchors = asked(plain.select(_KEY, F.col(text_col)).mapInArrow(_anchor_batches(buckets), blobs), True, False)
     near = rows.join(anchors, rows[_KEY] == anchors["__k"]).drop("__k")
     windows = asked(near.mapInArrow(_window_batches(buckets, id_col, text_col), blobs), False, True)
     return rows.join(windows, rows[_KEY] == windows["__k"], "left").drop("__k")
