@@ -2,25 +2,34 @@
 
 Arrivals are appended as small shards as they come. A shard's tier is the power of FANOUT that its size has reached;
 a tier with FANOUT shards or more is merged into shards near the target size. Shards are never changed. A version of the
-table is a manifest file that lists its shards; a commit creates the next version's file, which fails if another
-writer has created it first. Readers use one manifest throughout; shards that no kept version lists are removed later.
+table is a manifest file that lists its shards; a commit gives the next version's file its name, which fails if another
+writer has done so first: by a hard link on local and mounted disks, by a rename on HDFS and views of it. Other file
+systems may replace an existing file, so a store refuses them. Readers use one manifest throughout; shards that no kept
+version lists are removed once they are old enough not to belong to an append that is still under way.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quantloom.llm.base import prepare
+from quantloom.llm.base import file_system, prepare, qualified
 
 TARGET_BYTES = 128 << 20
 SMALLEST_BYTES = 1 << 20
 FANOUT = 4
+#: Seconds that a data file no version lists is left alone; an append must commit within them.
+LEASE_SECONDS = 24 * 3600
+#: File systems that never replace a file by a link or a rename.
+SAFE_SYSTEMS = ("file", "hdfs", "viewfs")
 
 
 @dataclass(frozen=True)
@@ -45,7 +54,10 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, smallest_bytes: int = SMALLEST_BYTES, fanout: int = FANOUT):
         prepare(spark)
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = spark, qualified(spark, root).rstrip("/")
+        self.scheme = self.root.split(":")[0]
+        if self.scheme not in SAFE_SYSTEMS:
+            raise ValueError(f"a store needs a file system that refuses to replace files, one of {SAFE_SYSTEMS}: {root}")
         self.target, self.smallest, self.fanout = target_bytes, smallest_bytes, fanout
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -76,7 +88,7 @@ class ShardStore:
         return Manifest(said["version"], said["schema"], tuple(Shard(**s) for s in said["shards"]))
 
     def commit(self, before: Manifest, schema: str, add: list[Shard], remove: set[str] = frozenset()) -> Manifest:
-        """The next version: written aside, then renamed to a name that must not exist yet."""
+        """The next version: written aside, then given a name that must not exist yet."""
         after = Manifest(before.version + 1, schema, tuple(s for s in before.shards if s.path not in remove) + tuple(add))
         aside = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(aside, False)
@@ -84,10 +96,15 @@ class ShardStore:
             stream.write(json.dumps(asdict(after)).encode())
         finally:
             stream.close()
-        to = self._path(self._file(after.version))
-        if self._fs.exists(to) or not self._fs.rename(aside, to):
+        try:
+            if self.scheme == "file":
+                os.link(file_system(str(aside))[1], file_system(self._file(after.version))[1])
+            elif not self._fs.rename(aside, self._path(self._file(after.version))):
+                raise FileExistsError
+        except FileExistsError:
+            raise Conflict(str(after.version)) from None
+        finally:
             self._fs.delete(aside, False)
-            raise Conflict(str(after.version))
         return after
 
     def _write(self, df: DataFrame) -> list[Shard]:
@@ -96,12 +113,14 @@ class ShardStore:
         return [Shard(str(s.getPath()), int(s.getLen())) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
 
     def append(self, df: DataFrame) -> Manifest:
-        """Add the rows of ``df`` as shards, one for each of its partitions. Nothing is seen of them before the commit."""
+        """Add the rows of ``df`` as shards, one for each of its partitions. Nothing is seen of them before the commit.
+        Names and types of the columns must be the table's."""
+        fields = lambda schema: [(f["name"], f["type"]) for f in json.loads(schema)["fields"]]
         shards = self._write(df)
         while True:
             before = self.manifest()
             schema = df.schema.json()
-            if before.schema and [f.name for f in df.schema] != [f["name"] for f in json.loads(before.schema)["fields"]]:
+            if before.schema and fields(schema) != fields(before.schema):
                 raise ValueError("the columns differ from the table's")
             try:
                 return self.commit(before, before.schema or schema, shards)
@@ -123,7 +142,8 @@ class ShardStore:
         """Merge what plan() names, smallest tier first, until it names nothing.
 
         The files of a run are packed into read partitions of the target size, and each partition is written as one
-        shard, so no rows are shuffled. A run that would not give fewer shards is left as it is.
+        shard, so no rows are shuffled. A run that would not give fewer shards is left as it is. If another writer commits
+        meanwhile, the merged shards are committed after it, unless it has merged some of the run itself.
         """
         done: set[frozenset] = set()
         while True:
@@ -132,13 +152,16 @@ class ShardStore:
             if not runs:
                 return now
             run = runs[0]
-            done.add(frozenset(s.path for s in run))
+            own = frozenset(s.path for s in run)
             merged = self._write(self._packed(run))
-            try:
-                if len(merged) < len(run):
-                    self.commit(now, now.schema, merged, {s.path for s in run})
-            except Conflict:
-                continue
+            while len(merged) < len(run) and own <= {s.path for s in now.shards}:
+                try:
+                    self.commit(now, now.schema, merged, set(own))
+                    break
+                except Conflict:
+                    now = self.manifest()
+            else:
+                done.add(own)
 
     def _packed(self, run: list[Shard]) -> DataFrame:
         own = self.spark.newSession()
@@ -150,15 +173,15 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; of the empty table, none and no columns."""
         now = self.manifest(version)
-        from pyspark.sql.types import StructType
-
         schema = StructType.fromJson(json.loads(now.schema)) if now.schema else StructType()
         if not now.shards:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[s.path for s in now.shards])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove the manifests before the last ``keep`` versions, and all data files that the kept ones don't list."""
+    def vacuum(self, keep: int = 1, lease: float = LEASE_SECONDS) -> int:
+        """Remove the manifests before the last ``keep`` versions, and the data files older than ``lease`` seconds that the
+        kept ones don't list; younger ones may be those of an append that hasn't committed yet."""
+        before = (time.time() - lease) * 1000
         versions = self.versions()
         kept = {s.path for v in versions[-keep:] for s in self.manifest(v).shards}
         for v in versions[:-keep]:
@@ -167,7 +190,7 @@ class ShardStore:
         data = self._path(f"{self.root}/data")
         for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
             for f in self._fs.listStatus(folder.getPath()):
-                if str(f.getPath()) not in kept:
+                if str(f.getPath()) not in kept and f.getModificationTime() <= before:
                     self._fs.delete(f.getPath(), False)
                     gone += 1
         return gone
@@ -180,16 +203,18 @@ def arrivals(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
 
 
 def compacted(docs: DataFrame, root: str, id_col: str = "doc_id", batches: int = 3, target_bytes: int = TARGET_BYTES) -> ShardStore:
-    """A store of all rows of ``docs`` that came in ``batches`` arrivals, compacted and vacuumed after each."""
+    """A store of all rows of ``docs`` that came in ``batches`` arrivals, compacted and vacuumed after each, without a lease
+    as nobody else knows of the new store. Null ids and texts, repeated rows and other columns are kept as they are; an
+    empty table gives a store of no rows."""
     store = ShardStore(docs.sparkSession, root, target_bytes)
     for df in arrivals(docs, id_col, batches):
         store.append(df)
         store.compact()
-        store.vacuum()
+        store.vacuum(lease=0)
     return store
 
 
 def contents(store: ShardStore, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, text_sha256, shard) of each row of the store's latest version; null texts have null figures."""
+    """(doc_id, n_bytes, text_sha256) of each row of the store's latest version; null texts have null figures."""
     rows = store.read()
     return rows.select(F.col(id_col).alias("doc_id"), F.octet_length(text_col).cast("bigint").alias("n_bytes"), F.sha2(F.col(text_col).cast("binary"), 256).alias("text_sha256"))
