@@ -16,7 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 or more stays, that of the smallest doc_id."""
+    """One document of each group of five-word Jaccard similarity 0.8 or more stays, that of the smallest doc_id. SimHash
+    fingerprints of the same shingles propose pairs on operator 3's grid, and MinHash bands those beyond its reach."""
     return jaccard.keep_first(docs)
 
 
