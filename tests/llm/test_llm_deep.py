@@ -100,16 +100,6 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_stages_on_nulls_repeats_and_empty_tables(spark):
-    rows = [(1, None, None, None, 0), (1, "ka lo mi", "aa", "s", 0), (1, "ka lo mi", "aa", "s", 0), (None, "ka lo mi", "aa", None, 0), (2, "", "bb", "s", 0)]
-    df = spark.createDataFrame(rows, DOC).withColumns({"node": F.lit(1), "root": F.lit(2), "key": F.lit(3), "copies": F.lit(9)})
-    for name, stage in corpus_pipeline.STAGES:
-        for docs in (df, df.where("false")) if name != "near_dedup" else (df,):
-            found = stage(spark, docs, "")
-            assert found.count() <= 2 * docs.count()
-            assert name == "encode" or found.columns == df.columns
-
-
 def brute_kneser_ney(counts, order, letters):
     """p(c | context) of one language by the recursive definition, over strings with their padding."""
     grams = defaultdict(Counter)
