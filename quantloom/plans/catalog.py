@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import q_analysts, q_facts, q_factors, q_more, q_risk, q_signals, q_windows
+from quantloom.plans import q_analysts, q_facts, q_factors, q_more, q_providers, q_risk, q_signals, q_windows
 
-_PARTS = (q_windows, q_risk, q_signals, q_factors, q_analysts, q_facts, q_more)
+_PARTS = (q_windows, q_risk, q_signals, q_factors, q_analysts, q_facts, q_more, q_providers)
 
 
 def queries() -> dict:

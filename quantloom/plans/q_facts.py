@@ -121,21 +121,6 @@ def _src21(spark, sf_dir):
     return files.filings_of(text).drop("accession")
 
 
-@query("src24_level_inspection", f"WITH {P.WALK_SQL} SELECT symbol, day, round(close, 6) AS close FROM walk WHERE symbol IN ('ASIA', 'EUROPE') AND day BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
-def _src24(spark, sf_dir):
-    return rounded(P.walk(spark, sf_dir).where("symbol in ('ASIA', 'EUROPE') and day between DATE '1995-01-01' and DATE '1995-12-31'"))
-
-
-#: Market suffixes of a vendor's symbols.
-SUFFIXES = {"ASIA": ".T", "EUROPE": ".DE", "AMERICA": ""}
-
-
-@query("src25_vendor_symbols", "SELECT r_name AS market, replace(upper(r_name), ' ', '-') || CASE r_name WHEN 'ASIA' THEN '.T' WHEN 'EUROPE' THEN '.DE' ELSE '' END AS vendor FROM region")
-def _src25(spark, sf_dir):
-    suffix = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
-    return P.table(spark, sf_dir, "region").select(F.col("r_name").alias("market"), F.concat(F.translate(F.upper("r_name"), " ", "-"), F.coalesce(suffix[F.col("r_name")], F.lit(""))).alias("vendor"))
-
-
 #: Control, zero-width, direction and byte-order characters that texts are cleaned of.
 UNSAFE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF]"
 
@@ -174,9 +159,6 @@ def _flt08(spark, sf_dir):
     return rows.where("coalesce(member_from <= day, true) and coalesce(day <= member_to, true)").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-QUERIES["join19_universe_metadata"], SQL["join19_universe_metadata"] = QUERIES["flt08_membership"], SQL["flt08_membership"]
-
-
 @query("snk03_json_rows", f"WITH {_RISK} SELECT symbol, count(*) AS n FROM (UNPIVOT risk ON annualized_volatility, max_drawdown INTO NAME metric VALUE value) GROUP BY symbol")
 def _snk03(spark, sf_dir):
     from quantloom.operators import risk

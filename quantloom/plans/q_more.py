@@ -36,13 +36,6 @@ def _flt11(spark, sf_dir):
     return rows.where("idx >= 50 and idx < size - 21").groupBy("symbol").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("n"))
 
 
-@query("flt16_outcome_contract", f"WITH {P.BARS_SQL} SELECT symbol, count(*) AS points, 0::BIGINT AS repeated, 0::BIGINT AS half_ranges FROM bars GROUP BY symbol")
-def _flt16(spark, sf_dir):
-    """Repeated times, and points with only one of high and low."""
-    rows = P.bars(spark, sf_dir).withColumn("k", F.count("*").over(W.Window.partitionBy("symbol", "day")))
-    return rows.groupBy("symbol").agg(F.count("*").alias("points"), F.count_if(F.col("k") > 1).alias("repeated"), F.count_if(F.col("high").isNull() != F.col("low").isNull()).alias("half_ranges"))
-
-
 @query("join11_eligible_times", f"WITH {P.WALK_SQL} SELECT a.symbol, count(*) AS n FROM walk a SEMI JOIN (SELECT day FROM walk WHERE symbol = 'ASIA') b USING (day) GROUP BY a.symbol")
 def _join11(spark, sf_dir):
     rows = P.walk(spark, sf_dir)
@@ -56,9 +49,6 @@ def _join21(spark, sf_dir):
     return rounded(rows.where("symbol <> 'AFRICA'").join(cash, ["start_date", "end_date"]).select("symbol", "end_date", (F.col("value") - F.col("rf")).alias("excess")))
 
 
-QUERIES["join03_panel_join"], SQL["join03_panel_join"] = QUERIES["join21_cash_subtraction"], SQL["join21_cash_subtraction"]
-
-
 @query("join17_period_intersection", f"WITH {P.RETURNS_SQL} SELECT a.end_date, round(a.value, 6) AS a, round(b.value, 6) AS b FROM rets a JOIN rets b USING (start_date, end_date) WHERE a.symbol = 'ASIA' AND b.symbol = 'AFRICA'")
 def _join17(spark, sf_dir):
     rows = P.returns(spark, sf_dir)

@@ -153,11 +153,6 @@ def _flt07(spark, sf_dir):
     return validation.daily(P.walk(spark, sf_dir))
 
 
-@query("flt18_return_contract", f"WITH {P.RETURNS_SQL} SELECT symbol, 0::BIGINT AS reversed, 0::BIGINT AS below_minus_one, 0::BIGINT AS overlapping FROM rets GROUP BY symbol")
-def _flt18(spark, sf_dir):
-    return validation.return_violations(P.returns(spark, sf_dir))
-
-
 @query("flt19_outcome_adapter", f"WITH {P.BARS_SQL} SELECT symbol, day, close AS value, high, low, 'high_low' AS basis FROM bars")
 def _flt19(spark, sf_dir):
     return validation.outcomes_of(P.bars(spark, sf_dir))
