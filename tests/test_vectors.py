@@ -183,7 +183,10 @@ def test_worth_buy_and_price_action_run_on_short_and_empty_input(spark):
 
 def test_filing_and_ratio_basics(spark):
     facts = [("A", "revenue", "current", 120.0, dt.date(2024, 12, 31), "USD"), ("A", "revenue", "prior", 100.0, dt.date(2023, 12, 31), "USD"), ("A", "net_income", "current", 12.0, dt.date(2024, 12, 31), "USD"), ("A", "market_cap", "current", 180.0, dt.date(2024, 12, 31), "USD")]
-    got = {r.metric: r.value for r in fundamentals.ratios(spark.createDataFrame(facts, "symbol string, metric string, period_role string, value double, period_end date, currency string")).collect()}
+    made = spark.createDataFrame(facts, "symbol string, metric string, period_role string, value double, period_end date, currency string")
+    keys = ["'annual' as period_type", "cast(year(period_end) as string) as period_ref", "if(period_role = 'current', cast(year(period_end) - 1 as string), null) as prior_period_ref", "'s' as snapshot_ref"]
+    made = made.selectExpr("*", *keys, "DATE '2025-01-31' as valuation_as_of", "DATE '2025-02-01' as observed_at")
+    got = {r.metric: r.value for r in fundamentals.ratios(made).collect()}
     assert got == {"revenue_growth": pytest.approx(0.2), "net_margin": pytest.approx(0.1), "price_to_earnings": pytest.approx(15)}
 
 
