@@ -106,8 +106,20 @@ def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the input: file sizes for scans. Only sizes buckets, never selects rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of the input: file sizes for scans. Only sizes buckets, never selects rows.
+
+    An estimate of a join is a product, so it counts no more than the tables below it. Rows that don't come from a table
+    have no estimate (Spark then takes the largest long); the bytes of their texts are summed in a pass.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) >= df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes():
+        texts = [i for i, f in enumerate(df.schema) if f.dataType.typeName() in ("string", "binary")]
+        plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+        each = sum((F.coalesce(F.octet_length(f"c{i}"), F.lit(0)).cast("bigint") for i in texts), F.lit(8 * len(df.columns)).cast("bigint"))
+        return plain.agg(F.sum(each)).first()[0] or 0
+    return min(int(str(plan.stats().sizeInBytes())), sum(sizes))
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 32, most: int = 1 << 20) -> int:

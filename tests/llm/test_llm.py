@@ -93,6 +93,14 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in range(61)} == {0} and got[101] == 100
 
 
+def test_rows_without_an_estimate_are_measured(spark):
+    rows = docs(spark, [(i, "a" * 1000) for i in range(50)] + [(None, None)])
+    assert 50_000 <= base.input_bytes(rows) < 60_000 and base.buckets_for(rows) == 32
+    assert base.input_bytes(rows.where("doc_id < 0")) == 0
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert base.input_bytes(table.alias("a").join(table.alias("b"), "doc_id")) <= 2 * base.input_bytes(table)
+
+
 def test_substring_equals_brute_force(spark):
     shared = words(30, 5)
     rows = [(i, " ".join(words(25, i) + shared[i % 5 :] + words(10, i + 99))) for i in range(12)] + [(20, " ".join(shared[:13])), (21, " ".join(shared[:12])), *[r for r in ODD if r[0] is not None]]
