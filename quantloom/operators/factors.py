@@ -128,7 +128,8 @@ def rolling_correlations(study: DataFrame, factors: list[str], window: int = 252
 
 
 def stability(rolling: DataFrame, *by: str) -> DataFrame:
-    return rolling.groupBy(*by).agg(F.count("*").alias("n"), F.min("beta").alias("minimum"), F.max("beta").alias("maximum"), F.percentile("beta", F.lit(0.5)).alias("median"), F.max_by("beta", "end_date").alias("latest"), F.stddev_samp("beta").alias("deviation"), (F.count_if(F.col("beta") > 0) / F.count("*")).alias("positive_share"))
+    """Spread of the windows' betas; without a window, n is 0 and the rest null."""
+    return rolling.groupBy(*by).agg(F.count("*").alias("n"), F.min("beta").alias("minimum"), F.max("beta").alias("maximum"), F.percentile("beta", F.lit(0.5)).alias("median"), F.max_by("beta", "end_date").alias("latest"), F.stddev_samp("beta").alias("deviation"), F.try_divide(F.count_if(F.col("beta") > 0), F.count("*")).alias("positive_share"))
 
 
 def gram(study: DataFrame, k: int) -> DataFrame:

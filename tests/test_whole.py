@@ -135,3 +135,9 @@ def test_ratios_need_matching_statements(spark):
     assert got(revenue, income, before | {"period_ref": "21"}, cap | {"valuation_as_of": "2024-03-02"}) == {"net_margin": 0.1}
     assert got(revenue, income | {"period_ref": None}, cap | {"valuation_as_of": "2023-12-30"}) == {}
     assert got(revenue, income | {"value": 0.0}, cap) == {"net_margin": 0.0}
+
+
+def test_agg25_of_a_study_shorter_than_a_window(spark):
+    none = spark.createDataFrame([], "end_date date, beta double")
+    row = fa.stability(none).first()
+    assert row.n == 0 and row.median is None and row.positive_share is None
