@@ -119,15 +119,17 @@ def walk_forward(labelled: DataFrame, window: int = 20, s: fr.Series = fr.Series
     return wide.withColumn("signal", signal).drop("__from", *[f"{p}{i}" for p in "udt" for i in range(3)])
 
 
-def walk_forward_backtest(signals: DataFrame, key: str = "symbol", min_train: int = 252, s: fr.Series = fr.Series()) -> DataFrame:
+def walk_forward_backtest(signals: DataFrame, key: str = "symbol", min_train: int = 252, s: fr.Series = fr.Series(), idle: float = 0.0) -> DataFrame:
     """Sharpe ratio (population, 252 days), drawdown and number of steps when each bar's position is the signal of the
-    bar before and earns the next bar's move."""
+    bar before and earns the next bar's move. Steps that all earn the same have an infinite ratio of the mean's sign,
+    and the ratio ``idle`` if they earn nothing, as when no position was ever taken."""
     rows = signals.select(key, s.order, "idx", (F.lag("signal").over(s.w) * (F.lead("close").over(s.w) / F.col("close") - 1)).alias("r"))
     rows = rows.where((F.col("idx") >= min_train) & F.col("r").isNotNull())
     rows = rows.withColumn("equity", F.product(1 + F.col("r")).over(s.so_far))
     rows = rows.withColumn("dd", 1 - F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(s.so_far)))
     mean, deviation = F.avg("r"), F.stddev_pop("r")
-    return rows.groupBy(key).agg(F.round(F.when(deviation > 0, mean / deviation * F.sqrt(F.lit(252.0))).otherwise(0.0), 6).alias("sharpe"), F.round(F.greatest(F.lit(0.0), F.max("dd")), 6).alias("max_drawdown"), F.count("*").alias("n_trades"))
+    even = F.when(mean > 0, float("inf")).when(mean < 0, float("-inf")).otherwise(idle)
+    return rows.groupBy(key).agg(F.round(F.when(deviation > 0, mean / deviation * F.sqrt(F.lit(252.0))).otherwise(even), 6).alias("sharpe"), F.round(F.greatest(F.lit(0.0), F.max("dd")), 6).alias("max_drawdown"), F.count("*").alias("n_trades"))
 
 
 def markov(prices: DataFrame, key: str = "symbol", window: int = 20, bull: float = 0.05, bear: float = -0.05, s: fr.Series = fr.Series()) -> DataFrame:

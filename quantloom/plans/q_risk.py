@@ -116,7 +116,7 @@ def _win24(spark, sf_dir):
 ), dw AS (SELECT *, 1 - e / greatest(1, max(e) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)) AS dd FROM eq)
 SELECT symbol, round(avg(r) / stddev_pop(r) * sqrt(252), 6) AS sharpe, round(greatest(0, max(dd)), 6) AS max_drawdown, count(*) AS n_trades FROM dw GROUP BY symbol""")
 def _win25(spark, sf_dir):
-    return risk.walk_forward_backtest(risk.walk_forward(risk.regimes(P.walk(spark, sf_dir))))
+    return risk.walk_forward_backtest(risk.walk_forward(risk.regimes(P.walk(spark, sf_dir))), idle=float("nan"))
 
 
 @query("skl08_markov", f"""WITH {_STAT}, now AS (SELECT symbol, arg_max(label, day) AS regime, count(*) AS n FROM lab GROUP BY symbol), o AS (
