@@ -196,6 +196,33 @@ def test_search_skips_blocks_and_breaks_ties(spark):
     assert bm25.search(same.where("false"), F.col("doc_id") % 50 == 0).count() == 0
 
 
+def test_search_passes_over_documents_of_other_words(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [Counter(f"{'ab'[i % 2]}{r.randrange(300)}".encode() for _ in range(120)) for i in range(1024)]
+    norm = [bm25.K1 * (1 - bm25.B + bm25.B * t.total() / 120.0) for t in texts]
+
+    def searched():
+        shard = bm25.Shard.of(list(range(1024)), texts)
+        shard.prepare(120.0)
+        asked = bm25.Queries.of(pa.table({"query_id": pa.array(range(0, 40), pa.int64()), "terms": [[w.decode() for w in t] for t in texts[:40]], "weights": [[float(n) for n in t.values()] for t in texts[:40]]}))
+        best, seen = bm25.Best.of(40, 5), {}
+        bm25.search_shard(shard, asked, best, seen)
+        again = dict(seen)
+        bm25.search_shard(shard, asked, bm25.Best(best.score.copy(), best.doc.copy()), seen)
+        return best, (seen["scored"] - again["scored"]) / (seen["all"] - again["all"])
+
+    best, share = searched()
+    assert share < 0.6  # words of the one and the other kind come in turn, so an order of arrival has both in every block
+    for q in range(40):
+        score = [(-round(sum(n * t[w] * (bm25.K1 + 1) / (t[w] + norm[d]) for w, n in texts[q].items() if w in t), 6), d) for d, t in enumerate(texts) if d != q]
+        assert [d for _, d in sorted(score)[:5]] == best.doc[q].tolist()
+    monkeypatch.setattr(bm25, "_hashes", lambda words: np.zeros(len(words), np.uint64))
+    same, _ = searched()
+    assert (same.doc == best.doc).all() and (same.score == best.score).all()
+
+
 def test_hot_cell_work_is_bounded():
     r = np.random.default_rng(3)
     fps = np.unique(r.integers(0, 1 << 62, 3000).astype(np.uint64))
